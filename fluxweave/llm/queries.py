@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluxweave.llm import dedup
+from fluxweave.llm import decontam, dedup, substring
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,5 +15,14 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op4_minhash_near_dedup,)}
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(substring.remove_repeats(_documents(spark, sf_dir)))
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontam.digest(decontam.contamination(_documents(spark, sf_dir), items))
+
+
+QUERIES = {f.__name__: f for f in (op4_minhash_near_dedup, op8_substring_dedup, op10_benchmark_decontamination)}
 SQL: dict[str, str] = {}
