@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fluxweave.llm import decontam, dedup, substring
+from fluxweave.llm import decontam, dedup, langid, packing, substring, tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_files(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).withColumn("held_out", langid.in_fold("doc_id", 4, 2))
+    model = langid.fit(docs.where("not held_out"))
+    return langid.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(_documents(spark, sf_dir))
 
@@ -19,10 +31,24 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(substring.remove_repeats(_documents(spark, sf_dir)))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontam.digest(decontam.contamination(_documents(spark, sf_dir), items))
 
 
-QUERIES = {f.__name__: f for f in (op4_minhash_near_dedup, op8_substring_dedup, op10_benchmark_decontamination)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_ids,
+        op2_language_id,
+        op4_minhash_near_dedup,
+        op8_substring_dedup,
+        op9_packing,
+        op10_benchmark_decontamination,
+    )
+}
 SQL: dict[str, str] = {}
