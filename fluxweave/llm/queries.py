@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxweave.llm import decontam, dedup, langid, packing, substring, tokens
+from fluxweave.llm import decontam, dedup, langid, packing, pii, secrets, substring, tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,14 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(_documents(spark, sf_dir))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(_documents(spark, sf_dir))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_documents(spark, sf_dir))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(substring.remove_repeats(_documents(spark, sf_dir)))
 
@@ -46,6 +54,8 @@ QUERIES = {
         op1_token_ids,
         op2_language_id,
         op4_minhash_near_dedup,
+        op6_pii,
+        op7_secret_scan,
         op8_substring_dedup,
         op9_packing,
         op10_benchmark_decontamination,
