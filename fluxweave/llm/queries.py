@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxweave.llm import decontam, dedup, langid, packing, pii, secrets, substring, tokens
+from fluxweave.llm import decontam, dedup, fingerprints, langid, packing, pii, secrets, substring, tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(_documents(spark, sf_dir))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(_documents(spark, sf_dir))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(_documents(spark, sf_dir))
 
@@ -54,6 +58,7 @@ QUERIES = {
         op1_token_ids,
         op2_language_id,
         op4_minhash_near_dedup,
+        op5_fingerprints,
         op6_pii,
         op7_secret_scan,
         op8_substring_dedup,
