@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxweave.llm import decontam, dedup, fingerprints, langid, packing, pii, secrets, substring, tokens
+from fluxweave.llm import decontam, dedup, fingerprints, langid, lmscore, packing, pii, secrets, substring, tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(_documents(spark, sf_dir).withColumn("held_out", langid.in_fold("doc_id", 10, 0)), "held_out")
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(_documents(spark, sf_dir))
 
@@ -57,6 +61,7 @@ QUERIES = {
     for f in (
         op1_token_ids,
         op2_language_id,
+        op3_lm_score,
         op4_minhash_near_dedup,
         op5_fingerprints,
         op6_pii,
