@@ -241,6 +241,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs that `near_duplicates` keeps, with their columns; equal rows are one."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates(["doc_id"])
+    """The rows of docs that `near_duplicates` keeps, with all their columns.
+
+    Rows that share a doc_id are one document; rows without a doc_id all stay.
+    """
+    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null"))
