@@ -1,8 +1,64 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: language ID, near-dedup, decontamination, secret scan, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which `run` writes as
+Parquet in the shared folder and reads again for the next one. All but the last return the
+columns of documents. No stage has a SQL form as a whole, so ORACLE_SQL is None; a test
+holds the result against a brute-force version.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fluxweave.llm import decontam, dedup, langid, packing, secrets
+from fluxweave.runtime import cut
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the model tells with confidence; rejected and undetermined ones go."""
+    model = langid.fit(docs.where(~langid.in_fold("doc_id", 4, 2)))
+    return langid.predict(docs.select(COLUMNS), model).where("not rejected").select(COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that with the smallest doc_id."""
+    return dedup.deduplicate(docs).select(COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no window of words with a benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontam.without_contaminated(docs.select(COLUMNS), items)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced by their kind; n_chars follows the text."""
+    clean = secrets.redacted(docs.select(COLUMNS))
+    return clean.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' ids in sequences."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("packing", pack),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return docs
