@@ -1 +1,4 @@
-"""Part of fluxweave; see the README."""
+"""Registered queries over the engine's operators."""
+
+from fluxweave.plans import detect  # noqa: F401
+from fluxweave.plans.registry import COVERS, QUERIES, SQL  # noqa: F401
