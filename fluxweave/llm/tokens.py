@@ -27,12 +27,13 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluxweave.llm.textkit import modest_batches
 from fluxweave.runtime import cut, new_path
 
 END_ID = 2
 RANK_BITS = 512
 FILE_IDS = 4_000_000
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 _MAGIC, _VERSION = b"DACF", 1
 
 # A piece is white space followed by the rest up to the next white space. Both tokenizers
@@ -42,16 +43,19 @@ _PIECE = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+$")
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  ⁠　﻿]")
 
 
-#: White space, Latin letters, closing marks: such a piece has the ids of its parts one after the other.
-_PLAIN = re.compile("([\x20\x09-\x0D]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.;:!?|]*)")
+#: Pieces of these characters alone are cut below as the vocabularies' own patterns cut them.
+_SIMPLE = re.compile("[\x20-\x7eÀ-ÖØ-öø-ÿ]+")
+_SPECIAL = "'s|'t|'re|'ve|'m|'ll|'d"  # endings that both patterns name, fixed values
+_LOWER_PARTS = re.compile(_SPECIAL + "|[a-zß-öø-ÿ]+|[0-9]|[^\x20a-z0-9ß-öø-ÿ]+")
+_BLANK_PARTS = re.compile(_SPECIAL + "|\x20?[A-Za-zÀ-ÖØ-öø-ÿ]+|\x20?[0-9]+|\x20?[^\x20A-Za-z0-9À-ÖØ-öø-ÿ]+")
 
 
 class PieceEncoder:
     """Ids of whole texts; each distinct piece goes through the tokenizer once, while it is remembered.
 
-    Two generations of CACHE_WORDS pieces at most are remembered. A piece of letters and
-    closing marks is put together from the ids of both; unknown words of letters are
-    encoded many at once in one string, and the ids cut where the vocabulary marks the
+    Two generations of CACHE_WORDS pieces at most are remembered. A piece of common
+    characters is put together from the ids of its words and marks; unknown words of letters
+    are encoded many at once in one string, and the ids cut where the vocabulary marks the
     end (or the beginning) of a word.
     """
 
@@ -59,7 +63,7 @@ class PieceEncoder:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.young: dict[str, bytes] = {}
@@ -69,6 +73,12 @@ class PieceEncoder:
         self.word_end = bool(getattr(self.tokenizer.model, "end_of_word_suffix", None))
         self.byte_level = not self.word_end and type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
         self.mark = np.array([x.endswith("</w>") if self.word_end else x.startswith("Ġ") for x in names])
+        # The same vocabulary for words of letters in normal form: nothing is left to normalise, and blanks part them.
+        self.plain = Tokenizer.from_file(path)
+        if self.word_end or self.byte_level:
+            blanks = pre_tokenizers.WhitespaceSplit() if self.word_end else pre_tokenizers.Split(" ", "merged_with_next")
+            self.plain.normalizer = None
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([blanks, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
     def _raw(self, pieces: list[str]) -> list[bytes]:
         codes = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
@@ -77,7 +87,7 @@ class PieceEncoder:
     def _many(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters (each with one blank before it, if the vocabulary marks beginnings)."""
         text = " ".join(words) if self.word_end else "".join(words)
-        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         cuts = np.flatnonzero(self.mark[ids])
         edges = np.append(0, cuts + 1) if self.word_end else np.append(cuts, len(ids))
         if len(edges) != len(words) + 1:
@@ -86,64 +96,69 @@ class PieceEncoder:
         return [data[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
     def _learn(self, pieces: set[str]) -> None:
+        """Remember the ids of pieces that are not among the young ones."""
         young, old = self.young, self.old
-        plain: list[tuple[str, str, str, str]] = []
-        odd, parts = [], set()
+        words: set[str] = set()  # of letters, for one string
+        others: set[str] = set()
+        made: list[tuple[str, list[str]]] = []
+        simple = self.word_end or self.byte_level
+        cut = (_LOWER_PARTS if self.word_end else _BLANK_PARTS).findall
         for piece in pieces:
             if (code := old.get(piece)) is not None:
                 young[piece] = code
                 continue
-            m = _PLAIN.fullmatch(piece) if self.word_end or self.byte_level else None
-            if m is None:
-                odd.append(piece)
-                continue
-            space, word, marks = m.groups()
-            if self.word_end:
-                space, word = "", word.lower()
-            elif space == " ":
-                space, word = "", " " + word
-            elif space not in ("", "\n"):
-                odd.append(piece)
-                continue
-            plain.append((piece, space, word, marks))
-            parts.update((space, word, marks))
-        parts.discard("")
-        unknown = []
-        for x in parts:
-            if x in young:
-                continue
-            if (code := old.get(x)) is not None:
-                young[x] = code
+            # Most new pieces are a word of ASCII letters, or one with a mark behind it.
+            word, mark = (piece, "") if piece.isalpha() else (piece[:-1], piece[-1])
+            if self.word_end and word.isalpha() and piece.isascii():
+                low = word.lower()
+                if mark or low != piece:
+                    made.append((piece, [low, mark] if mark else [low]))
+                if low not in young:
+                    if (code := old.get(low)) is not None:
+                        young[low] = code
+                    else:
+                        words.add(low)
+                if mark and mark not in young:
+                    others.add(mark)
+            elif not simple or not _SIMPLE.fullmatch(piece) or piece.endswith(" ") or "  " in piece:
+                others.add(piece)
             else:
-                unknown.append(x)
-        # A word of the corpus may be a piece, too, with the same ids.
-        many = [x for x in unknown if (x[0].isalpha() if self.word_end else x[0] == " ")]
-        odd += [x for x in unknown if not (x[0].isalpha() if self.word_end else x[0] == " ")]
-        for at in range(0, len(many), 5_000):
-            young.update(zip(many[at : at + 5_000], self._many(many[at : at + 5_000]), strict=True))
-        for at in range(0, len(odd), 5_000):
-            young.update(zip(odd[at : at + 5_000], self._raw(odd[at : at + 5_000]), strict=True))
-        for piece, space, word, marks in plain:
-            young[piece] = (young[space] if space else b"") + young[word] + (young[marks] if marks else b"")
+                parts = cut(piece.lower() if self.word_end else piece)
+                if len(parts) != 1 or parts[0] is not piece:
+                    made.append((piece, parts))
+                for x in parts:
+                    if x not in young:
+                        if (code := old.get(x)) is not None:
+                            young[x] = code
+                        elif (x if self.word_end else x[1:]).isalpha() and (self.word_end or x[0] == " "):
+                            words.add(x)
+                        else:
+                            others.add(x)
+        for some, how in ((list(words), self._many), (list(others), self._raw)):
+            for at in range(0, len(some), 5_000):
+                young.update(zip(some[at : at + 5_000], how(some[at : at + 5_000]), strict=True))
+        for piece, parts in made:
+            young[piece] = young[parts[0]] if len(parts) == 1 else b"".join([young[x] for x in parts])
+
+    def forget(self) -> None:
+        """Give back what is remembered; words of another partition are mostly others."""
+        self.young, self.old = {}, {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """One uint32 array for each text."""
         out: list[np.ndarray] = []
         for text in texts:
-            if _OTHER_SPACE.search(text) or "<|" in text:
+            if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f") or not text.isascii() and _OTHER_SPACE.search(text):
                 out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
                 continue
-            pieces = _PIECE.findall(text)
-            try:
-                code = b"".join(map(self.young.__getitem__, pieces))
-            except KeyError:
-                young = self.young
-                fresh = {p for p in pieces if p not in young}
-                if len(self.young) > CACHE_WORDS:
-                    self.old, self.young, fresh = self.young, {}, set(pieces)
+            pieces = text.split() if self.word_end else _PIECE.findall(text)
+            if len(self.young) > CACHE_WORDS:
+                self.old, self.young = self.young, {}
+            young = self.young
+            fresh = {p for p in pieces if p not in young}
+            if fresh:
                 self._learn(fresh)
-                code = b"".join(map(self.young.__getitem__, pieces))
-            out.append(np.frombuffer(code, np.uint32))
+            out.append(np.frombuffer(b"".join(map(young.__getitem__, pieces)), np.uint32))
         return out
 
 
@@ -164,7 +179,20 @@ def _bit_rows(width: int) -> np.ndarray:
     return ((np.arange(1 << width, dtype=np.uint32)[:, None] >> np.arange(width, dtype=np.uint32)) & 1).astype(np.uint8)
 
 
+def _group(width: int) -> int:
+    """How many entries fill whole bytes within 64 bits; 0 if none do."""
+    return 8 if width <= 8 else 4 if width % 2 == 0 and width <= 16 else 0
+
+
 def _pack(values: np.ndarray, width: int) -> bytes:
+    """Entries of so many bits each, lowest first."""
+    if group := _group(width):
+        words = np.zeros(-(-len(values) // group), "<u8")
+        for k in range(group):
+            part = values[k::group]
+            words[: len(part)] |= part.astype(np.uint64) << np.uint64(k * width)
+        data = words.view(np.uint8).reshape(-1, 8)[:, : group * width // 8].tobytes()
+        return data[: -(-len(values) * width // 8)]
     parts = []
     for at in range(0, len(values), 1 << 18):  # a multiple of 8 entries, so parts end at whole bytes
         v = values[at : at + (1 << 18)].astype(np.uint32)
@@ -177,6 +205,19 @@ def _unpack(data: bytes, width: int, n: int) -> np.ndarray:
     if width == 0 or n == 0:
         return np.zeros(n, np.uint32)
     out = np.empty(n, np.uint32)
+    if group := _group(width):
+        size = group * width // 8
+        whole = np.zeros((-(-n // group), 8), np.uint8)
+        raw = np.frombuffer(data, np.uint8, count=-(-n * width // 8))
+        full = len(raw) // size
+        whole[:full, :size] = raw[: full * size].reshape(full, size)
+        if full < len(whole):
+            whole[full, : len(raw) - full * size] = raw[full * size :]
+        words = whole.view("<u8").ravel()
+        for k in range(group):
+            place = out[k::group]
+            place[:] = (words[: len(place)] >> np.uint64(k * width)) & np.uint64((1 << width) - 1)
+        return out
     for at in range(0, n, 1 << 18):
         m = min(1 << 18, n - at)
         begin = at * width // 8
@@ -192,7 +233,11 @@ def _unpack(data: bytes, width: int, n: int) -> np.ndarray:
 def best_widths(ids: np.ndarray) -> list[int]:
     """Chunk widths of the least size for these ids, by dynamic programming over bit positions."""
     top = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-    bits = np.bincount(np.minimum(np.ceil(np.log2(ids.astype(np.float64) + 1)).astype(int), top), minlength=top + 1)
+    counts = np.bincount(ids, minlength=1 << top) if top <= 20 else None
+    if counts is not None:  # ids by their number of bits
+        bits = np.array([counts[(1 << b) >> 1 : 1 << b].sum() for b in range(top + 1)])
+    else:
+        bits = np.bincount(np.minimum(np.ceil(np.log2(ids.astype(np.float64) + 1)).astype(int), top), minlength=top + 1)
     reach = [int(bits[b + 1 :].sum()) if b else len(ids) for b in range(top + 1)]  # ids that have a bit at b or above
     cost, step = [0.0] * (top + 1), [0] * (top + 1)
     for b in range(top - 1, -1, -1):
@@ -297,7 +342,7 @@ def write_token_files(docs: DataFrame, out: str, vocabulary: str, end_id: int =
     Null texts are empty and have just the end id; a null doc_id has no place in the order
     and is refused.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = modest_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.where(F.when(F.col("doc_id").isNull(), F.raise_error(F.lit("doc_id is null"))).otherwise(F.lit(True)).cast("boolean"))
 
     def write(batches):
@@ -323,6 +368,7 @@ def write_token_files(docs: DataFrame, out: str, vocabulary: str, end_id: int =
                         held_ids, held, n = [], [], 0
         if held:
             yield save()
+        encoder(vocabulary).forget()
 
     ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     return cut(ordered.mapInArrow(write, "file string, first_doc long, documents long, n_ids long"), "files")
