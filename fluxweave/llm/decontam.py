@@ -153,7 +153,7 @@ def _united(table: pa.Table) -> pa.Table:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """(doc_id, n_words, n_hit, items) for each row of docs(doc_id, text) against benchmark(item_id, text)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = tk.modest_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     if size <= index_bytes:
@@ -174,7 +174,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, index_bytes: int
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     parts = 1 if size <= index_bytes else -(-2 * size // index_bytes)
-    kept = docs
+    kept = tk.modest_batches(docs)
     for k in range(parts):
         mine = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k)
         index = BenchmarkIndex([(r[0], r[1]) for r in mine.collect()])  # under index_bytes, as checked

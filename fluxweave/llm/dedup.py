@@ -162,7 +162,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     component_id is the smallest doc_id reachable over links; kept marks that document.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = tk.modest_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = cut(texts.mapInArrow(_sketches, _SKETCH), "sketch")
     # Equal sets meet in one item; the aggregate is partial before its shuffle.
     items = (

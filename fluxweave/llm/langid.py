@@ -84,7 +84,7 @@ class Model:
         for lo, hi in tk.chunks(offsets, 1 << 20):
             lengths = np.diff(offsets[lo : hi + 1])
             # A blank before each text keeps grams from crossing into the next.
-            text = data[offsets[lo] : offsets[hi]].translate(_LETTERS)
+            text = bytes(data[offsets[lo] : offsets[hi]]).translate(_LETTERS)
             if hi - lo > 1:
                 text = b" ".join(text[a - offsets[lo] : b - offsets[lo]] for a, b in zip(offsets[lo:hi], offsets[lo + 1 : hi + 1], strict=True))
             text = b" " + text + b" "
@@ -213,7 +213,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
     out = StructType(list(docs.schema.fields)).add("lang_pred", StringType()).add("score", DoubleType()).add("rejected", BooleanType())
-    return docs.mapInArrow(run, out)
+    return tk.modest_batches(docs).mapInArrow(run, out)
 
 
 def in_fold(doc_id: str, folds: int, fold: int):

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fluxweave.llm.textkit import modest_batches
 from fluxweave.llm.tokens import encoder
 
 LENGTH = 1024
@@ -69,7 +70,7 @@ def first_fit_decreasing(sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.n
 
 def pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_id: int = END_ID, groups: int = 1) -> DataFrame:
     """Pieces of each document's ids, with the group each belongs to."""
-    texts = docs.select(
+    texts = modest_batches(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         F.pmod(F.xxhash64("doc_id", F.lit(20240607)), F.lit(groups)).alias("group_id"),
@@ -90,6 +91,7 @@ def pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_id: int =
                     [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)],
                     ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "group_id"],
                 )
+        encoder(vocabulary).forget()
 
     return texts.mapInArrow(cut, _PIECE)
 

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluxweave.llm.boost import Boosted
+from fluxweave.llm.textkit import modest_batches
 
 KINDS = ("email", "ip", "card", "phone")
 PRECISION = 0.98
@@ -240,7 +241,7 @@ def written(spans: list[tuple[int, int, int]], kinds: tuple[str, ...]) -> str:
 
 def detect(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) for each row of docs(doc_id, text)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = modest_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     trees, thresholds = model()
 
     def run(batches):

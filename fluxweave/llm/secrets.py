@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluxweave.llm.pii import redact, written
+from fluxweave.llm.textkit import modest_batches
 
 KINDS = ("assign", "access", "hex")
 LEVEL = 19
@@ -109,7 +110,7 @@ def _spans(text: str) -> tuple[list, list]:
 
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_added) for each row of docs(doc_id, text)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = modest_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches):
         for batch in batches:
@@ -144,4 +145,4 @@ def redacted(docs: DataFrame) -> DataFrame:
                     out.append(redact(text, written(spans, KINDS), "[SECRET-{}]") if spans else text)
                 yield part.set_column(at, part.schema.field(at), pa.array(out, part.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return modest_batches(docs).mapInArrow(run, docs.schema)

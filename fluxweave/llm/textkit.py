@@ -12,7 +12,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
+BATCH_ROWS = 2000  # rows of an Arrow batch at most: whole texts are in it
 CHUNK_BYTES = 1 << 21  # bytes scanned at once; a longer text is scanned alone, whole
 
 _SPACE = b"\x09\x0a\x0b\x0c\x0d\x20"
@@ -60,6 +62,15 @@ def rolling(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return (sums[ends] - sums[starts]) * up[starts]
 
 
+def modest_batches(df: DataFrame) -> DataFrame:
+    """The same rows; Arrow batches of the session hold BATCH_ROWS rows at most from now on."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 @dataclass
 class Words:
     """Words of some consecutive rows: row r has the words first[r]:first[r + 1]."""
@@ -79,8 +90,8 @@ class Words:
         return mix(rolling(_BYTE[np.frombuffer(self.data, np.uint8)], self.starts, self.ends))
 
 
-def buffers(column: pa.Array) -> tuple[np.ndarray, bytes]:
-    """Offsets and bytes of a string or binary column; nulls count as empty."""
+def buffers(column: pa.Array) -> tuple[np.ndarray, memoryview]:
+    """Offsets and bytes (not copied) of a string or binary column; nulls count as empty."""
     if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
         column = pc.fill_null(column, "")
     else:
@@ -88,10 +99,10 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, bytes]:
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, offsets, data = column.buffers()
     if offsets is None or not len(column):
-        return np.zeros(1, np.int64), b""
+        return np.zeros(1, np.int64), memoryview(b"")
     at = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1]
     at = at.astype(np.int64)
-    return at, data.to_pybytes() if data is not None and len(column) else b""
+    return at, memoryview(data) if data is not None else memoryview(b"")
 
 
 def chunks(offsets: np.ndarray, size: int = CHUNK_BYTES):
@@ -107,7 +118,7 @@ def words(column: pa.Array, table: bytes):
     """Yield Words over all rows of a string column, whole texts, a few MB at a time."""
     offsets, data = buffers(column)
     for lo, hi in chunks(offsets):
-        raw = data[offsets[lo] : offsets[hi]]
+        raw = bytes(data[offsets[lo] : offsets[hi]])
         text = raw.translate(table)
         at = offsets[lo : hi + 1] - offsets[lo]
         solid = np.frombuffer(text, np.uint8) != 32
