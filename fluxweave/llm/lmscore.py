@@ -34,7 +34,7 @@ from fluxweave.runtime import cut
 DEPTH = 7  # bytes of context; with the next byte they fill 64 bits
 TOP = 2  # depth at which subtrees are cut off
 BLOCK_CHARS = 8 << 20
-RANGE_WORDS = 1_000_000
+RANGE_WORDS = 250_000
 _END = np.uint64(0x0A)
 _PACK = "kind int, block int, bucket int, data binary"
 _META = -1
@@ -59,7 +59,9 @@ class _Vocabulary:
         train = ~np.array(table.column("held_out").to_pylist(), bool)
         self.train_docs = int(train.sum())
         hashes, counts, lengths, spelled = [], [], [], []
+        self.rows: list[tuple[int, int, np.ndarray, np.ndarray]] = []  # lo, hi, first words of rows, words' places in `hash`
         for found in tk.words(text, tk.SPACES_LOWER):
+            self.rows.append((found.lo, found.hi, found.first, np.zeros(0, np.int64)))
             if not len(found.starts):
                 continue
             u, idx, inverse = np.unique(found.hashes(), return_index=True, return_inverse=True)
@@ -69,6 +71,7 @@ class _Vocabulary:
             size = found.ends[idx] - found.starts[idx]
             lengths.append(size)
             spelled.append(_word_bytes(np.frombuffer(found.data, np.uint8), found.starts[idx], size))
+            self.rows[-1] = (found.lo, found.hi, found.first, inverse + sum(map(len, hashes[:-1])))
         if not hashes:
             self.hash, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
             self.length, self.data = np.zeros(0, np.int64), np.zeros(0, np.uint8)
@@ -78,6 +81,7 @@ class _Vocabulary:
         self.count = np.bincount(inverse, n, len(self.hash)).astype(np.int64)
         self.length = size[idx]
         self.data = _word_bytes(np.concatenate(spelled), (np.cumsum(size) - size)[idx], self.length)
+        self.rows = [(lo, hi, first, inverse[at]) for lo, hi, first, at in self.rows]
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """(context, next byte) of every byte of every word with its closing blank, and each word's first place.
@@ -348,25 +352,24 @@ def score(docs: DataFrame, held_out: str) -> DataFrame:
             count = np.zeros(len(v.hash), np.int64)
             for k, a, b in _runs(ranges(v.hash)):
                 count[a:b] = np.frombuffer(said[0, k], np.int64)
-            keys, _ = _block_pairs(v)
+            pairs, begin = v.pairs()
+            keys, place = np.unique(np.append(pairs, _END), return_inverse=True)
             logs = np.zeros(len(keys))
             for k, a, b in _runs(subtrees(keys)):
                 logs[a:b] = np.frombuffer(said[1, k], np.float32)
-            place, begin = v.pairs()
-            word_log = np.add.reduceat(logs[np.searchsorted(keys, place)], begin) if len(begin) else np.zeros(0)
-            end_log = logs[np.searchsorted(keys, _END)]
+            word_log = np.add.reduceat(logs[place[:-1]], begin) if len(begin) else np.zeros(0)
+            end_log = logs[place[-1]]
             base, known = np.log10(count + 0.1), (count > 0).astype(np.int64)
             ids, held = table.column("doc_id").to_pylist(), table.column("held_out").to_pylist()
             sums = lambda x, first: (lambda c: c[first[1:]] - c[first[:-1]])(np.append(0, np.cumsum(x)))
-            for found in tk.words(table.column("text").combine_chunks(), tk.SPACES_LOWER):
-                at = np.searchsorted(v.hash, found.hashes())
-                columns["doc_id"] += ids[found.lo : found.hi]
-                columns["held_out"] += held[found.lo : found.hi]
-                columns["n_tokens"] += (np.diff(found.first) + 1).tolist()
-                columns["n_known"] += (sums(known[at], found.first) + (train_docs > 0)).tolist()
-                columns["base_log"] += (sums(base[at], found.first) + np.log10(train_docs + 0.1)).tolist()
-                columns["score"] += ((sums(word_log[at], found.first) + end_log) / np.log(10)).tolist()
-                columns["n_bytes"] += (sums(v.length[at] + 1, found.first) + 1).tolist()
+            for lo, hi, first, at in v.rows:
+                columns["doc_id"] += ids[lo:hi]
+                columns["held_out"] += held[lo:hi]
+                columns["n_tokens"] += (np.diff(first) + 1).tolist()
+                columns["n_known"] += (sums(known[at], first) + (train_docs > 0)).tolist()
+                columns["base_log"] += (sums(base[at], first) + np.log10(train_docs + 0.1)).tolist()
+                columns["score"] += ((sums(word_log[at], first) + end_log) / np.log(10)).tolist()
+                columns["n_bytes"] += (sums(v.length[at] + 1, first) + 1).tolist()
             for name in ("part_tokens", "part_words"):
                 columns[name] = [None] * len(columns["doc_id"])
         kinds = {"held_out": pa.bool_(), "base_log": pa.float64(), "score": pa.float64()}

@@ -71,4 +71,31 @@ QUERIES = {
         op10_benchmark_decontamination,
     )
 }
-SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACED = r"[^\x20\x09-\x0D]+"
+
+SQL: dict[str, str] = {
+    "op4_minhash_near_dedup": rf"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_SPACED}') AS w FROM documents),
+ p AS (SELECT doc_id, w, unnest(generate_series(1, CASE WHEN len(w) = 0 THEN 0 ELSE greatest(len(w) - 4, 1) END)) AS k FROM d),
+ s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[k:k + 4], ' ')) AS h FROM p), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+ i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ l AS (SELECT i.a, i.b FROM i JOIN n x ON x.doc_id = i.a JOIN n y ON y.doc_id = i.b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l UNION ALL SELECT doc_id, doc_id FROM d),
+ r AS (SELECT doc_id AS a, doc_id AS r FROM d UNION SELECT e.b, r.r FROM r JOIN e ON e.a = r.a), c AS (SELECT a AS doc_id, min(r) AS component_id FROM r GROUP BY 1)
+ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    "op8_substring_dedup": rf"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents),
+ p AS (SELECT doc_id, k, md5(array_to_string(w[k:k + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS k FROM d)),
+ f AS (SELECT h, min(doc_id) AS low FROM p GROUP BY 1), g AS (SELECT DISTINCT p.doc_id, unnest(generate_series(p.k, p.k + 49)) AS j FROM p JOIN f USING (h) WHERE f.low < p.doc_id),
+ x AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS j FROM d),
+ y AS (SELECT x.doc_id, count(g.j) AS n_removed, string_agg(CASE WHEN g.j IS NULL THEN x.word END, ' ' ORDER BY x.j) AS kept FROM x LEFT JOIN g ON g.doc_id = x.doc_id AND g.j = x.j GROUP BY 1)
+ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN y USING (doc_id)""",
+    "op10_benchmark_decontamination": rf"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+ b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+ bw AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS h FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(generate_series(1, len(w) - least(len(w), 10) + 1)) AS k FROM b WHERE len(w) > 0)),
+ dw AS (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS h FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS k FROM d, (SELECT DISTINCT n FROM bw))),
+ m AS (SELECT dw.doc_id, dw.k, dw.n, bw.item_id FROM dw JOIN bw USING (n, h)),
+ hit AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(generate_series(k, k + n - 1)) AS j FROM m) GROUP BY 1),
+ it AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM m) GROUP BY 1)
+ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)""",
+}
