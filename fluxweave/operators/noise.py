@@ -274,7 +274,7 @@ def bracket(coordinate: Column, samples: list[float], step: float, clamp: bool =
 
 
 def interpolate(pixels: DataFrame, grid: DataFrame, shape: tuple[int, int], window: tuple[int, int], step: tuple[int, int], extrapolate_rms: bool = True, by: Sequence[str] = ()) -> DataFrame:
-    """Bilinear background and RMS at each valid pixel: four lookups of bracketing cells.
+    """Bilinear background and RMS at each valid pixel: one lookup of the bracketing cells.
 
     grid(cell_y, cell_x, background, rms) is filled. y is taken first, then x. An invalid
     pixel (null value) gets nulls.
@@ -287,24 +287,28 @@ def interpolate(pixels: DataFrame, grid: DataFrame, shape: tuple[int, int], wind
     ext, ys = extend_axis(plain, "cell_y", samples[0], shape[0], by)
     ext, xs = extend_axis(ext, "cell_x", samples[1], shape[1], by)
 
-    def look(df: DataFrame, table: DataFrame, column: str, sy: list[float], sx: list[float], clamp: bool) -> DataFrame:
+    def look(df: DataFrame, table: DataFrame, columns: list[str], sy: list[float], sx: list[float], clamp: bool) -> DataFrame:
+        """One join with the grid: each cell already carries the values of the three cells after it."""
+        cells = table.select(*by, "cell_y", "cell_x", *columns)
+        corners = cells.select(*by, F.col("cell_y").alias("_iy"), F.col("cell_x").alias("_ix"), *[F.col(c).alias(f"_{c}00") for c in columns])
+        for dy, dx in ((0, 1), (1, 0), (1, 1)):
+            after = cells.select(*by, (F.col("cell_y") - dy).alias("_iy"), (F.col("cell_x") - dx).alias("_ix"), *[F.col(c).alias(f"_{c}{dy}{dx}") for c in columns])
+            corners = corners.join(after, [*by, "_iy", "_ix"], "left")
         (iy, fy), (ix, fx) = bracket(F.col("y"), sy, step[0], clamp), bracket(F.col("x"), sx, step[1], clamp)
-        out = df.withColumn("_iy", iy).withColumn("_fy", fy).withColumn("_ix", ix).withColumn("_fx", fx)
-        for dy in (0, 1):
-            for dx in (0, 1):
-                part = table.select(*by, F.col("cell_y").alias("_cy"), F.col("cell_x").alias("_cx"), F.col(column).alias(f"_v{dy}{dx}"))
-                out = out.withColumn("_cy", F.least(F.col("_iy") + dy, F.lit(len(sy) - 1))).withColumn("_cx", F.least(F.col("_ix") + dx, F.lit(len(sx) - 1)))
-                out = out.join(part, [*by, "_cy", "_cx"], "left").drop("_cy", "_cx")
-        low = F.col("_v00") * (1 - F.col("_fx")) + F.col("_v01") * F.col("_fx")
-        high = F.col("_v10") * (1 - F.col("_fx")) + F.col("_v11") * F.col("_fx")
-        value = low * (1 - F.col("_fy")) + high * F.col("_fy")
-        return out.withColumn(column, F.when(F.col("value").isNotNull(), value)).drop("_iy", "_fy", "_ix", "_fx", "_v00", "_v01", "_v10", "_v11")
-
-    with_background = look(pixels, ext, "background", ys, xs, False)
+        out = df.withColumn("_iy", iy).withColumn("_fy", fy).withColumn("_ix", ix).withColumn("_fx", fx).join(corners, [*by, "_iy", "_ix"], "left")
+        for c in columns:
+            v = {k: F.col(f"_{c}{k}") for k in ("00", "01", "10", "11")}
+            # An axis of one cell has fraction 0, and nothing after it.
+            low = F.when(F.col("_fx") == 0, v["00"]).otherwise(v["00"] * (1 - F.col("_fx")) + v["01"] * F.col("_fx"))
+            high = F.when(F.col("_fx") == 0, v["10"]).otherwise(v["10"] * (1 - F.col("_fx")) + v["11"] * F.col("_fx"))
+            value = F.when(F.col("_fy") == 0, low).otherwise(low * (1 - F.col("_fy")) + high * F.col("_fy"))
+            out = out.withColumn(c, F.when(F.col("value").isNotNull(), value)).drop(*[f"_{c}{k}" for k in v])
+        return out.drop("_iy", "_fy", "_ix", "_fx")
+
     if extrapolate_rms:
-        both = look(with_background, ext, "rms", ys, xs, False)
+        both = look(pixels, ext, ["background", "rms"], ys, xs, False)
     else:
-        both = look(with_background, plain, "rms", samples[0], samples[1], True)
+        both = look(look(pixels, ext, ["background"], ys, xs, False), plain, ["rms"], samples[0], samples[1], True)
     return both.withColumn("rms", F.greatest("rms", F.when(F.col("rms").isNotNull(), F.lit(0.0))))
 
 

@@ -12,10 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where the setting is absent (tests, a plain local session) a temporary one is made.
+    Only where the setting is absent in a local session (tests) a temporary one is made; a
+    cluster has to name its folder, as a machine's own would be seen by that machine alone.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="fluxweave-")
         spark.conf.set("spark.checkpoint.dir", base)
         atexit.register(drop_path, spark, base)
