@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from fluxweave.functions import scalars as S
 from fluxweave.functions.sky import Wcs, sky_position, sky_shape
-from fluxweave.operators import association, deblend, fit, labels, measure, multiscale, noise, pixels, support
+from fluxweave.operators import association, deblend, fit, groups, labels, measure, multiscale, noise, pixels, support
 from fluxweave.operators.graph import connected_components
 from fluxweave.runtime import cut
 from fluxweave.sources import fits, products
@@ -140,6 +140,21 @@ def measure_components(found: DataFrame, image: Image, config: FinderConfig) ->
     return cut(fits_.withColumnRenamed("parent", "label").join(firsts, ["label", "region"]), "components"), regions
 
 
+def source_groups(regions: DataFrame, components: DataFrame, image: Image, config: FinderConfig) -> DataFrame:
+    """(component, group) of measured groups: touching models, and loops, arcs and shared residuals within a label."""
+    fitted = components.where("reason is null")
+    shape = ["cx", "cy", "sigma_1", "sigma_2", "angle"]
+    pairs = fit.touching_models(fitted.select(F.col("component").alias("id"), *shape), 8 * max(image.beam[:2]) + 64)
+    touching = connected_components(pairs, "a_id", "b_id").select(F.col("node").alias("component"), F.col("component").alias("group"))
+    several = fitted.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label")
+    named = regions.join(several, "label", "left_semi").join(components.select("label", "region", "component"), ["label", "region"])
+    pixels_ = named.select(F.col("label").alias("feature"), "y", "x", F.col("residual").alias("value"), "rms", F.col("component").alias("label"))
+    models = fitted.join(several, "label", "left_semi").select(F.col("label").alias("feature"), F.col("component").alias("id"), *shape, "amplitude")
+    sigma = (image.beam[0] / S.FWHM, image.beam[1] / S.FWHM, image.beam[2])
+    found = groups.group_components(pixels_, models, sigma, config.detection_sigma, config.island_sigma)
+    return association.reconcile_groups(touching, found.select(F.col("id").alias("component"), F.concat_ws("-", "evidence", "group").alias("group")))
+
+
 def find_sources(image: Image, config: FinderConfig | None = None) -> Found:
     """Run the finder over one image."""
     config = config or FinderConfig()
@@ -150,13 +165,11 @@ def find_sources(image: Image, config: FinderConfig | None = None) -> Found:
     found = detect(plane, image, config)
     area = S.BEAM_AREA * image.beam[0] * image.beam[1]
     components, regions = measure_components(found, image, config)
-    fitted = components.where("reason is null")
     if config.profile == "continuum":
-        pairs = fit.touching_models(fitted.select(F.col("component").alias("id"), "cx", "cy", "sigma_1", "sigma_2", "angle"), 8 * max(image.beam[:2]) + 64)
-        groups = connected_components(pairs, "a_id", "b_id").select(F.col("node").alias("component"), F.col("component").alias("group"))
+        measured = source_groups(regions, components, image, config)
     else:
-        groups = components.select("component", F.col("component").alias("group")).where("false")
-    member = association.constrain_memberships(components, groups, groups).drop("proposed")
+        measured = components.select("component", F.col("component").alias("group")).where("false")
+    member = association.constrain_memberships(components, measured, measured).drop("proposed")
     member = cut(member, "members")
     flux = F.col("amplitude") * 2 * math.pi * F.col("sigma_1") * F.col("sigma_2") / area
     rows = components.join(member, "component").withColumn("flux", flux).withColumn("flux_error", F.abs(flux / F.col("amplitude") * F.col("amplitude_error")))
