@@ -91,7 +91,7 @@ def pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_id: int =
                     [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)],
                     ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "group_id"],
                 )
-        encoder(vocabulary).forget()
+        encoder(vocabulary).rest()
 
     return texts.mapInArrow(cut, _PIECE)
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import struct
+import threading
 import uuid
 import zlib
 from functools import lru_cache
@@ -34,6 +35,7 @@ END_ID = 2
 RANK_BITS = 512
 FILE_IDS = 4_000_000
 CACHE_WORDS = 400_000
+IDLE_SECONDS = 2.0  # a worker without text to encode gives its memory of pieces back
 _MAGIC, _VERSION = b"DACF", 1
 
 # A piece is white space followed by the rest up to the next white space. Both tokenizers
@@ -68,6 +70,7 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.lock, self.timer = threading.Lock(), None
         n = self.tokenizer.get_vocab_size()
         names = [self.tokenizer.id_to_token(i) or "" for i in range(n)]
         self.word_end = bool(getattr(self.tokenizer.model, "end_of_word_suffix", None))
@@ -140,12 +143,25 @@ class PieceEncoder:
         for piece, parts in made:
             young[piece] = young[parts[0]] if len(parts) == 1 else b"".join([young[x] for x in parts])
 
+    def rest(self) -> None:
+        """After a partition: keep what is remembered for the next one, but give it back if none follows soon."""
+        self.timer = threading.Timer(IDLE_SECONDS, self.forget)
+        self.timer.daemon = True
+        self.timer.start()
+
     def forget(self) -> None:
-        """Give back what is remembered; words of another partition are mostly others."""
-        self.young, self.old = {}, {}
+        with self.lock:
+            self.young, self.old = {}, {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """One uint32 array for each text."""
+        if self.timer is not None:
+            self.timer.cancel()
+            self.timer = None
+        with self.lock:
+            return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
         for text in texts:
             if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f") or not text.isascii() and _OTHER_SPACE.search(text):
@@ -368,7 +384,7 @@ def write_token_files(docs: DataFrame, out: str, vocabulary: str, end_id: int =
                         held_ids, held, n = [], [], 0
         if held:
             yield save()
-        encoder(vocabulary).forget()
+        encoder(vocabulary).rest()
 
     ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     return cut(ordered.mapInArrow(write, "file string, first_doc long, documents long, n_ids long"), "files")
