@@ -284,3 +284,18 @@ def test_tiles_cover_the_image_once(spark):
         seen[r.y0 : r.y1, r.x0 : r.x1] += 1
         assert r.read_y0 <= r.y0 and r.read_y1 >= r.y1
     assert (seen == 1).all()
+
+
+def test_ring_is_one_group_and_misfit_is_found(spark):
+    from fluxweave import plans
+
+    rows = plans.QUERIES["feature_groups"](spark, "").collect()
+    assert {r.id for r in rows if r.evidence == "resolved-loop"} == set(range(1, 9)) and {r.group for r in rows} == {1}
+    assert [(r.feature, r.id) for r in plans.QUERIES["inadequate_fits"](spark, "").collect()] == [(1, 2)]
+
+
+def test_every_query_names_what_it_covers():
+    from fluxweave import plans
+
+    assert set(plans.COVERS) == set(plans.QUERIES) and all(plans.COVERS.values())
+    assert set(plans.SQL) <= set(plans.QUERIES)
