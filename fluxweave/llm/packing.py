@@ -68,7 +68,7 @@ def first_fit_decreasing(sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.n
     return bins, offsets
 
 
-def pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_id: int = END_ID, groups: int = 1) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_id: int = END_ID, groups: int = 1, cache_words: int | None = None) -> DataFrame:
     """Pieces of each document's ids, with the group each belongs to."""
     texts = modest_batches(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -81,7 +81,7 @@ def pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_id: int =
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 rows = []
-                codes = encoder(vocabulary).encode(part.column("text").to_pylist())
+                codes = encoder(vocabulary, cache_words).encode(part.column("text").to_pylist())
                 for i, group, code in zip(part.column("doc_id").to_pylist(), part.column("group_id").to_pylist(), codes, strict=True):
                     code = np.append(code, np.uint32(end_id)).astype("<u4")
                     for a in range(0, len(code), length):
@@ -112,7 +112,7 @@ def _pack_group(length: int):
     return pack
 
 
-def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_id: int = END_ID, group_docs: int = GROUP_DOCS) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_id: int = END_ID, group_docs: int = GROUP_DOCS, cache_words: int | None = None) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) for each piece."""
     groups = max(1, -(-docs.count() // group_docs))
-    return pieces(docs, vocabulary, length, end_id, groups).groupBy("group_id").applyInArrow(_pack_group(length), _OUT)
+    return pieces(docs, vocabulary, length, end_id, groups, cache_words).groupBy("group_id").applyInArrow(_pack_group(length), _OUT)

@@ -34,7 +34,7 @@ from fluxweave.runtime import cut, new_path
 END_ID = 2
 RANK_BITS = 512
 FILE_IDS = 4_000_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 IDLE_SECONDS = 2.0  # a worker without text to encode gives its memory of pieces back
 _MAGIC, _VERSION = b"DACF", 1
 
@@ -55,13 +55,13 @@ _BLANK_PARTS = re.compile(_SPECIAL + "|\x20?[A-Za-zÀ-ÖØ-öø-ÿ]+|\x20?[0-9]+
 class PieceEncoder:
     """Ids of whole texts; each distinct piece goes through the tokenizer once, while it is remembered.
 
-    Two generations of CACHE_WORDS pieces at most are remembered. A piece of common
+    Two generations of `cache_words` pieces at most are remembered. A piece of common
     characters is put together from the ids of its words and marks; unknown words of letters
     are encoded many at once in one string, and the ids cut where the vocabulary marks the
     end (or the beginning) of a word.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_words: int | None = None):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -71,6 +71,7 @@ class PieceEncoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.lock, self.timer = threading.Lock(), None
+        self.most = cache_words or CACHE_WORDS
         n = self.tokenizer.get_vocab_size()
         names = [self.tokenizer.id_to_token(i) or "" for i in range(n)]
         self.word_end = bool(getattr(self.tokenizer.model, "end_of_word_suffix", None))
@@ -168,7 +169,7 @@ class PieceEncoder:
                 out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
                 continue
             pieces = text.split() if self.word_end else _PIECE.findall(text)
-            if len(self.young) > CACHE_WORDS:
+            if len(self.young) > self.most:
                 self.old, self.young = self.young, {}
             young = self.young
             fresh = {p for p in pieces if p not in young}
@@ -181,11 +182,12 @@ class PieceEncoder:
 _encoders: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, cache_words: int | None = None) -> PieceEncoder:
     """The worker's encoder for a vocabulary file."""
     if path not in _encoders:
         _encoders.clear()
         _encoders[path] = PieceEncoder(path)
+    _encoders[path].most = cache_words or CACHE_WORDS
     return _encoders[path]
 
 
