@@ -2,27 +2,30 @@
 
 A text is its words in lower case (A-Z), each spelled byte by byte and closed by a blank, and
 then an end sign. Each byte is eight binary decisions. The context of a decision is the
-decided bits and the bytes before it in its word, none to DEPTH of them (zeros stand before
-a word's first byte), so each prefix of bits has a context tree of its own. A node's
+decided bits and the bytes before it in the text, none to DEPTH of them, across blanks (zeros
+stand before a text's first byte), so each prefix of bits has a context tree of its own. A node's
 Krichevsky-Trofimov estimate is mixed with its deeper contexts by half each, at all depths:
 P(node) = (KT(node) + product of P(children)) / 2. The trained tree predicts a decision by
 mixing the estimates on its path with the posterior weights. The score is the log10
 probability of the whole text; divided by its bytes it is the code length for a byte.
 
-How it runs: the model of a word depends on the word only, so the corpus is reduced to
-distinct words, and these to distinct (context, next byte) pairs, 64 bits each. Blocks of
-a few MB of text send theirs with counts, packed, to hash ranges of words and to subtrees
+How it runs: blocks of a few MB of text are reduced to distinct words and to distinct
+(context, next byte) pairs over all their bytes, 64 bits each. They send
+these with counts, packed, to hash ranges of words and to subtrees
 (the last two bytes of the context); a subtree is weighted in one task, and the two top
 levels, which have at most 65,536 contexts x 255 decisions, in another. The answers go back
 to the blocks in the order they were sent. All training tokens count; nothing is pruned.
 
 Null texts are empty: the end sign alone. Rows with a null doc_id belong to no held-out
 fold. Rows are scored each for itself; equal texts have equal scores. Without any training
-text every decision has probability 1/2 and no token is known.
+text every decision has probability 1/2 and no token is known. With crossing=False contexts
+end at a word's start and the end sign has none, the model of single words.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,63 +46,63 @@ _META = -1
 # --- vocabulary of a block -------------------------------------------------------------
 
 
-def _word_bytes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The bytes of the given words one after the other."""
-    ends = np.cumsum(lengths)
-    if not len(ends):
-        return np.zeros(0, np.uint8)
-    return data[np.arange(ends[-1]) + np.repeat(starts - (ends - lengths), lengths)]
-
-
 class _Vocabulary:
-    """Distinct words of a block by ascending hash: how often training has them, and their bytes."""
+    """Distinct words of a block by ascending hash, and how often training has them."""
 
     def __init__(self, table: pa.Table):
         text = table.column("text").combine_chunks()
         train = ~np.array(table.column("held_out").to_pylist(), bool)
         self.train_docs = int(train.sum())
-        hashes, counts, lengths, spelled = [], [], [], []
+        hashes, counts = [], []
         self.rows: list[tuple[int, int, np.ndarray, np.ndarray]] = []  # lo, hi, first words of rows, words' places in `hash`
         for found in tk.words(text, tk.SPACES_LOWER):
             self.rows.append((found.lo, found.hi, found.first, np.zeros(0, np.int64)))
             if not len(found.starts):
                 continue
-            u, idx, inverse = np.unique(found.hashes(), return_index=True, return_inverse=True)
+            u, inverse = np.unique(found.hashes(), return_inverse=True)
             weight = np.repeat(train[found.lo : found.hi], np.diff(found.first))
             hashes.append(u)
             counts.append(np.bincount(inverse, weight, len(u)).astype(np.int64))
-            size = found.ends[idx] - found.starts[idx]
-            lengths.append(size)
-            spelled.append(_word_bytes(np.frombuffer(found.data, np.uint8), found.starts[idx], size))
             self.rows[-1] = (found.lo, found.hi, found.first, inverse + sum(map(len, hashes[:-1])))
         if not hashes:
             self.hash, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-            self.length, self.data = np.zeros(0, np.int64), np.zeros(0, np.uint8)
             return
-        h, n, size = np.concatenate(hashes), np.concatenate(counts), np.concatenate(lengths)
-        self.hash, idx, inverse = np.unique(h, return_index=True, return_inverse=True)
-        self.count = np.bincount(inverse, n, len(self.hash)).astype(np.int64)
-        self.length = size[idx]
-        self.data = _word_bytes(np.concatenate(spelled), (np.cumsum(size) - size)[idx], self.length)
+        self.hash, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
+        self.count = np.bincount(inverse, np.concatenate(counts), len(self.hash)).astype(np.int64)
         self.rows = [(lo, hi, first, inverse[at]) for lo, hi, first, at in self.rows]
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """(context, next byte) of every byte of every word with its closing blank, and each word's first place.
 
-        The nearest byte of the context is the highest, so contexts of any depth are runs of sorted pairs.
-        """
-        begin = np.cumsum(self.length + 1) - (self.length + 1)
-        total = int((self.length + 1).sum())
+def _pairs(text: pa.Array, crossing: bool):
+    """Of a few MB of rows at a time: lo, hi, (context, next byte) of every byte, each row's first place and the end.
+
+    The nearest byte of the context is the highest, so contexts of any depth are runs of sorted pairs.
+    """
+    for found in tk.words(text, tk.SPACES_LOWER):
+        rows, size = found.hi - found.lo, found.ends - found.starts
+        at = np.append(0, np.cumsum(size + 1))
+        begin = at[:-1] + np.repeat(np.arange(rows), np.diff(found.first))
+        end = at[found.first[1:]] + np.arange(rows)
+        total = int(at[-1]) + rows
+        inside = np.ones(total, bool)
+        inside[begin + size] = False
+        inside[end] = False
+        data = np.frombuffer(found.data, np.uint8)
         b = np.full(total, 32, np.uint64)
-        place = np.arange(total) - np.repeat(begin, self.length + 1)
-        b[place < np.repeat(self.length, self.length + 1)] = self.data
-        key = b.copy()
-        for k in range(1, DEPTH + 1):
-            before = np.zeros(total, np.uint64)
-            before[k:] = b[: total - k]
-            before[place < k] = 0
-            key |= before << np.uint64(64 - 8 * k)
-        return key, begin
+        b[inside] = data[data != 32]
+        b[end] = _END
+        first = np.append(0, end + 1)
+        starts = first[:-1] if crossing else np.sort(np.append(begin, end))
+        near = b << np.uint64(56)
+        for k in (1, 2, 4):  # the 2, 4, 8 bytes up to each place
+            longer = near.copy()
+            longer[k:] |= near[:-k] >> np.uint64(8 * k)
+            near = longer
+        key = np.zeros(total, np.uint64)
+        key[1:] = near[:-1] & ~np.uint64(0xFF)
+        for k in range(DEPTH):
+            few = starts[starts + k < np.append(starts[1:], total)] + k
+            key[few] &= np.uint64(((1 << 8 * k) - 1) << (64 - 8 * k) if k else 0)
+        yield found.lo, found.hi, key | b, first
 
 
 def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,10 +115,17 @@ def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[heads], np.add.reduceat(weights, heads)
 
 
-def _block_pairs(vocabulary: _Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    key, _ = vocabulary.pairs()
-    weight = np.repeat(vocabulary.count, vocabulary.length + 1)
-    return _summed(np.append(key, _END), np.append(weight, vocabulary.train_docs))
+def _block_pairs(table: pa.Table, crossing: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of a block, ascending, with how often training has them."""
+    train = ~np.array(table.column("held_out").to_pylist(), bool)
+    keys, weights = [], []
+    for lo, hi, key, first in _pairs(table.column("text").combine_chunks(), crossing):
+        mine = np.repeat(train[lo:hi], np.diff(first))
+        for part, trained in ((key[mine], 1), (key[~mine], 0)):
+            u, n = np.unique(part, return_counts=True)
+            keys.append(u)
+            weights.append(n * trained)
+    return _summed(np.concatenate(keys), np.concatenate(weights))
 
 
 # --- weighting -------------------------------------------------------------------------
@@ -138,50 +148,57 @@ def kt_block(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
 class _Level:
     """Nodes of one depth for one bit of the byte: sorted ids, counts, weight of their own estimate."""
 
-    def __init__(self, keys: np.ndarray, weights: np.ndarray, depth: int, bit: int):
-        self.depth, self.bit = depth, bit
-        ids, ones = self.ids_of(keys), (keys >> np.uint64(7 - bit) & np.uint64(1)).astype(bool)
-        self.ids, inverse = np.unique(ids, return_inverse=True)
-        self.n1 = np.bincount(inverse, weights * ones, len(self.ids))
-        self.n0 = np.bincount(inverse, weights * ~ones, len(self.ids))
-        self.inverse = inverse
-
-    def ids_of(self, keys: np.ndarray) -> np.ndarray:
-        """The context's bytes up to this depth, and the bits decided before this one."""
-        mask = ((1 << 8 * self.depth) - 1) << (64 - 8 * self.depth) if self.depth else 0
-        prefix = (keys & np.uint64(0xFF)) >> np.uint64(8 - self.bit)
-        return keys & np.uint64(mask) | prefix
-
-    def weigh(self, below: _Level | None, below_log: np.ndarray | None) -> np.ndarray:
-        """ln P of each node; keeps the posterior weight of its own estimate and that estimate of a one."""
+    def __init__(self, depth: int, bit: int, ids: np.ndarray, n0: np.ndarray, n1: np.ndarray, inverse: np.ndarray):
+        self.depth, self.bit, self.ids, self.n0, self.n1, self.inverse = depth, bit, ids, n0, n1, inverse
+
+    @classmethod
+    def deepest(cls, keys: np.ndarray, weights: np.ndarray, bit: int) -> _Level:
+        """Of ascending keys: the whole context and the bits decided before this one."""
+        ids, ones = keys & ~np.uint64(0xFF) | (keys & np.uint64(0xFF)) >> np.uint64(8 - bit), (keys >> np.uint64(7 - bit) & np.uint64(1)).astype(bool)
+        heads = np.append(True, ids[1:] != ids[:-1])[: len(ids)]
+        inverse = np.cumsum(heads) - 1
+        n = int(heads.sum())
+        return cls(DEPTH, bit, ids[heads], np.bincount(inverse, weights * ~ones, n), np.bincount(inverse, weights * ones, n), inverse.astype(np.int32))
+
+    def above(self) -> tuple[_Level, np.ndarray]:
+        """The level over this one, and the place there of each node's parent."""
+        depth = self.depth - 1
+        mask = (((1 << 8 * depth) - 1) << (64 - 8 * depth) if depth else 0) | 0xFF
+        ids, at = np.unique(self.ids & np.uint64(mask), return_inverse=True)
+        up = _Level(depth, self.bit, ids, np.bincount(at, self.n0, len(ids)), np.bincount(at, self.n1, len(ids)), at.astype(np.int32)[self.inverse])
+        return up, at
+
+    def weigh(self, at: np.ndarray | None = None, below_log: np.ndarray | None = None) -> np.ndarray:
+        """ln P of each node; keeps the posterior weight of its own estimate and that estimate of a one. at: places of the nodes below."""
         own = kt_block(self.n0, self.n1)
         self.one = (self.n1 + 0.5) / (self.n0 + self.n1 + 1.0)
-        if below is None:
+        if at is None:
             self.share = np.ones(len(own))
             return own
-        parent = below.ids & ~np.uint64(0xFF) & np.uint64(((1 << 8 * self.depth) - 1) << (64 - 8 * self.depth) if self.depth else 0)
-        at = np.searchsorted(self.ids, parent | (below.ids & np.uint64(0xFF)))
         deep = np.bincount(at, below_log, len(own))
         self.share = 1 / (1 + np.exp(np.clip(deep - own, -700, 700)))
         return np.logaddexp(own, deep) - np.log(2)
 
 
-def weighted_levels(keys: np.ndarray, weights: np.ndarray, top: int) -> tuple[list[list[_Level]], list[np.ndarray]]:
-    """For each bit the levels from DEPTH up to `top`, and ln P at `top`."""
-    levels, logs = [], []
+def _chains(keys: np.ndarray, weights: np.ndarray, top: int):
+    """For each bit the levels from DEPTH up to `top`, and ln P at `top`; one bit at a time is held."""
     for bit in range(8):
-        chain: list[_Level] = []
-        log = None
-        for depth in range(DEPTH, top - 1, -1):
-            level = _Level(keys, weights, depth, bit)
-            log = level.weigh(chain[-1] if chain else None, log)
-            chain.append(level)
-        levels.append(chain)
-        logs.append(log)
-    return levels, logs
-
-
-def pair_logs(keys: np.ndarray, levels: list[list[_Level]], above: list[tuple[np.ndarray, np.ndarray]] | None) -> np.ndarray:
+        chain = [_Level.deepest(keys, weights, bit)]
+        log = chain[0].weigh()
+        while chain[-1].depth > top:
+            up, at = chain[-1].above()
+            log = up.weigh(at, log)
+            chain.append(up)
+        yield chain, log
+
+
+def weighted_levels(keys: np.ndarray, weights: np.ndarray, top: int) -> tuple[list[list[_Level]], list[np.ndarray]]:
+    """All of _chains at once."""
+    found = list(_chains(keys, weights, top))
+    return [chain for chain, _ in found], [log for _, log in found]
+
+
+def pair_logs(keys: np.ndarray, levels: Iterable[list[_Level]], above: list[tuple[np.ndarray, np.ndarray]] | None) -> np.ndarray:
     """ln P(next byte | context) of each key. above: for each bit, what the levels over the subtree add and keep."""
     out = np.zeros(len(keys))
     for bit, chain in enumerate(levels):
@@ -219,14 +236,20 @@ def _runs(bucket: np.ndarray):
             yield int(bucket[a]), int(a), int(b)
 
 
-def _two(data: bytes, second) -> tuple[np.ndarray, np.ndarray]:
-    half = len(data) // 2
-    return np.frombuffer(data[:half], np.uint64), np.frombuffer(data[half:], second)
+def _planes(x: np.ndarray) -> bytes:
+    """First bytes of all values, then second bytes and so on: sorted keys and small counts shrink in the shuffle."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), 8).T).tobytes()
+
+
+def _two(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts that _planes wrote one after the other."""
+    both = np.frombuffer(data, np.uint8).reshape(2, 8, -1)
+    return tuple(np.ascontiguousarray(x.T).view(kind).ravel() for x, kind in zip(both, (np.uint64, np.int64), strict=True))
 
 
 def _pooled(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Keys with weights over all blocks, and each block's keys."""
-    parts = [_two(x, np.int64) for x in table.column("data").to_pylist()]
+    parts = [_two(x) for x in table.column("data").to_pylist()]
     keys, weights = _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
     return keys, weights, [p[0] for p in parts]
 
@@ -234,8 +257,8 @@ def _pooled(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
 def _subtree_top(table: pa.Table) -> pa.Table:
     """What the top levels need of a subtree: its nodes at depth TOP."""
     keys, weights, _ = _pooled(table)
-    levels, logs = weighted_levels(keys, weights.astype(float), TOP)
-    data = b"".join(np.array([len(c[-1].ids)], np.int64).tobytes() + c[-1].ids.tobytes() + c[-1].n0.tobytes() + c[-1].n1.tobytes() + log.tobytes() for c, log in zip(levels, logs, strict=True))
+    tops = ((c[-1], log) for c, log in _chains(keys, weights.astype(float), TOP))
+    data = b"".join(np.array([len(c.ids)], np.int64).tobytes() + c.ids.tobytes() + c.n0.tobytes() + c.n1.tobytes() + log.tobytes() for c, log in tops)
     return _rows([(2, 0, table.column("bucket")[0].as_py(), data)])
 
 
@@ -260,23 +283,17 @@ def _top_levels(table: pa.Table) -> pa.Table:
     for bit in range(8):
         ids = np.concatenate([t[bit][0] for t in tops])
         order = np.argsort(ids)
-        level = _Level.__new__(_Level)
-        level.depth, level.bit, level.ids = TOP, bit, ids[order]
         n0, n1, log = (np.concatenate([t[bit][k] for t in tops])[order] for k in (1, 2, 3))
+        level = _Level(TOP, bit, ids[order], n0, n1, np.arange(len(ids)))
         add, keep = np.zeros(len(ids)), np.ones(len(ids))
         path = np.arange(len(ids))
-        for depth in range(TOP - 1, -1, -1):
-            mask = np.uint64((((1 << 8 * depth) - 1) << (64 - 8 * depth) if depth else 0) | 0xFF)
-            up = _Level.__new__(_Level)
-            up.depth, up.bit = depth, bit
-            up.ids, inverse = np.unique(level.ids & mask, return_inverse=True)
-            up.n0, up.n1 = np.bincount(inverse, n0, len(up.ids)), np.bincount(inverse, n1, len(up.ids))
-            log = up.weigh(level, log)
+        while level.depth:
+            level, inverse = level.above()
+            log = level.weigh(inverse, log)
             path = inverse[path]
-            share = up.share[path]
-            add = share * up.one[path] + (1 - share) * add
+            share = level.share[path]
+            add = share * level.one[path] + (1 - share) * add
             keep = keep * (1 - share)
-            level, n0, n1 = up, up.n0, up.n1
         back = np.empty(len(ids), np.int64)
         back[order] = np.arange(len(ids))
         at = 0
@@ -298,8 +315,7 @@ def _subtree_answer(table: pa.Table, top: pa.Table) -> pa.Table:
         both = np.frombuffer(data, np.float64, n // 8, at + 8)
         above.append((both[: len(both) // 2], both[len(both) // 2 :]))
         at += 8 + n
-    levels, _ = weighted_levels(keys, weights.astype(float), TOP)
-    logs = pair_logs(keys, levels, above).astype(np.float32)
+    logs = pair_logs(keys, (c for c, _ in _chains(keys, weights.astype(float), TOP)), above).astype(np.float32)
     bucket = table.column("bucket")[0].as_py()
     return _rows([(1, b, bucket, logs[np.searchsorted(keys, p)].tobytes()) for b, p in zip(table.column("block").to_pylist(), parts, strict=True)])
 
@@ -315,7 +331,7 @@ def _range_answer(table: pa.Table) -> pa.Table:
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_log double, score double, n_bytes long, part_tokens long, part_words long"
 
 
-def score(docs: DataFrame, held_out: str) -> DataFrame:
+def score(docs: DataFrame, held_out: str, crossing: bool = False) -> DataFrame:
     """Rows of the contract for docs(doc_id, text) and a boolean column that marks rows kept out of training."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col(held_out), F.lit(False)).alias("held_out"))
     total, train_docs = texts.agg(F.sum(F.length("text")), F.count_if(~F.col("held_out"))).first()
@@ -332,12 +348,12 @@ def score(docs: DataFrame, held_out: str) -> DataFrame:
 
     def send_words(table: pa.Table) -> pa.Table:
         v, block = _Vocabulary(table), table.column("block")[0].as_py()
-        return _rows([(0, block, k, v.hash[a:b].tobytes() + v.count[a:b].tobytes()) for k, a, b in _runs(ranges(v.hash))])
+        return _rows([(0, block, k, _planes(v.hash[a:b]) + _planes(v.count[a:b])) for k, a, b in _runs(ranges(v.hash))])
 
     def send_pairs(table: pa.Table) -> pa.Table:
-        keys, weights = _block_pairs(_Vocabulary(table))
+        keys, weights = _block_pairs(table, crossing)
         block = table.column("block")[0].as_py()
-        return _rows([(1, block, k, keys[a:b].tobytes() + weights[a:b].tobytes()) for k, a, b in _runs(subtrees(keys))])
+        return _rows([(1, block, k, _planes(keys[a:b]) + _planes(weights[a:b])) for k, a, b in _runs(subtrees(keys))])
 
     def score_block(table: pa.Table, answers: pa.Table) -> pa.Table:
         columns: dict[str, list] = {x.split()[0]: [] for x in _SCORED.split(", ")}
@@ -352,13 +368,15 @@ def score(docs: DataFrame, held_out: str) -> DataFrame:
             count = np.zeros(len(v.hash), np.int64)
             for k, a, b in _runs(ranges(v.hash)):
                 count[a:b] = np.frombuffer(said[0, k], np.int64)
-            pairs, begin = v.pairs()
-            keys, place = np.unique(np.append(pairs, _END), return_inverse=True)
+            texts = [(np.unique(key, return_inverse=True), first) for _, _, key, first in _pairs(table.column("text").combine_chunks(), crossing)]
+            keys = np.unique(np.concatenate([u for (u, _), _ in texts]))
             logs = np.zeros(len(keys))
             for k, a, b in _runs(subtrees(keys)):
                 logs[a:b] = np.frombuffer(said[1, k], np.float32)
-            word_log = np.add.reduceat(logs[place[:-1]], begin) if len(begin) else np.zeros(0)
-            end_log = logs[place[-1]]
+            for (u, at), first in texts:
+                log = np.add.reduceat(logs[np.searchsorted(keys, u)][at], first[:-1])
+                columns["score"] += (log / np.log(10)).tolist()
+                columns["n_bytes"] += np.diff(first).tolist()
             base, known = np.log10(count + 0.1), (count > 0).astype(np.int64)
             ids, held = table.column("doc_id").to_pylist(), table.column("held_out").to_pylist()
             sums = lambda x, first: (lambda c: c[first[1:]] - c[first[:-1]])(np.append(0, np.cumsum(x)))
@@ -368,8 +386,6 @@ def score(docs: DataFrame, held_out: str) -> DataFrame:
                 columns["n_tokens"] += (np.diff(first) + 1).tolist()
                 columns["n_known"] += (sums(known[at], first) + (train_docs > 0)).tolist()
                 columns["base_log"] += (sums(base[at], first) + np.log10(train_docs + 0.1)).tolist()
-                columns["score"] += ((sums(word_log[at], first) + end_log) / np.log(10)).tolist()
-                columns["n_bytes"] += (sums(v.length[at] + 1, first) + 1).tolist()
             for name in ("part_tokens", "part_words"):
                 columns[name] = [None] * len(columns["doc_id"])
         kinds = {"held_out": pa.bool_(), "base_log": pa.float64(), "score": pa.float64()}

@@ -24,7 +24,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lmscore.score(_documents(spark, sf_dir).withColumn("held_out", langid.in_fold("doc_id", 10, 0)), "held_out")
+    return lmscore.score(_documents(spark, sf_dir).withColumn("held_out", langid.in_fold("doc_id", 10, 0)), "held_out", crossing=True)
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

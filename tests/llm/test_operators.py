@@ -124,6 +124,24 @@ def test_scores_of_all_words_of_a_split_tree_agree(spark):
     assert math.isclose(got[3], end, rel_tol=1e-5)
 
 
+def test_lm_contexts_cross_blanks(spark):
+    """Every byte is predicted from the bytes before it in the text, whichever word they are in."""
+    data = [(k, t) for k, t in enumerate(["ab  Abc d", "d abc ab", "ab d\tabc", None, "é ab", "x y"])]
+    table = spark.createDataFrame(data, "doc_id long, text string").selectExpr("*", "doc_id = 2 held")
+    got = {r.doc_id: r for r in lmscore.score(table, "held", crossing=True).collect()}
+    texts = {i: "".join(f"{w} " for w in (t or "").translate(LOW).split()).encode() + b"\n" for i, t in data}
+    pairs = {i: [(tuple([*reversed(t[:k]), *([0] * 7)][:7]), t[k]) for k in range(len(t))] for i, t in texts.items()}
+    trained = [x for i in pairs if i != 2 for x in pairs[i]]
+    for i, mine in pairs.items():
+        want = 0.0
+        for ctx, byte in mine:
+            bits = format(byte, "08b")
+            want += sum(_tree_log([*trained, (ctx, byte)], (), bits[:j], 7) - _tree_log(trained, (), bits[:j], 7) for j in range(8))
+        assert math.isclose(got[i].score, want / math.log(10), rel_tol=1e-5)
+        assert math.isclose(got[i].bits_per_byte, -got[i].score * math.log2(10) / len(texts[i]), rel_tol=1e-9)
+    assert not math.isclose(got[0].score, got[1].score, rel_tol=1e-3)  # the same words in another order
+
+
 def test_near_duplicates(spark, docs, plain, nothing):
     want = near_groups(plain)
     got = {r.doc_id: r for r in dedup.near_duplicates(docs).collect()}
