@@ -4,7 +4,8 @@ Beyond the base spans, each long run of key-like characters in a sensitive conte
 such as key, auth or credential close before it) is a candidate. Its novelty is the marginal
 number of bytes zstandard needs for it, when primed with a dictionary of identifiers and the
 text around the candidate, divided by its length. Words, identifiers and repeats of the
-surroundings cost few bytes; random keys do not compress and are reported from NOVELTY on.
+surroundings cost few bytes; random keys cost what random strings of their alphabet and length
+do, and are reported from NOVELTY of that on.
 
 Spans are code points, end exclusive. An added span has the kind it is most like: `hex` for
 lower-case hexadecimal, `access` for capitals and digits, else `assign`. Null texts are
@@ -15,6 +16,7 @@ by `redacted`.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from functools import lru_cache
 
@@ -68,6 +70,29 @@ def novelty(candidate: str, before: str, after: str) -> float:
     return (len(packer.compress(data)) - _frame_bytes()) / max(1, len(data))
 
 
+_DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Alphabets of keys, the smallest first; a candidate has the first that holds its letters and digits.
+_ALPHABETS = tuple(map(frozenset, (_DIGITS + _LOWER[:6], _DIGITS + _UPPER[:6], _DIGITS + _LOWER[:6] + _UPPER[:6], _UPPER + "234567", _LOWER + "234567", _DIGITS + _LOWER, _DIGITS + _UPPER, _DIGITS + _LOWER + _UPPER)))
+_SIGNS = frozenset("+/_=-")
+
+
+@lru_cache(4096)
+def _random_novelty(letters: str, length: int) -> float:
+    """Mean novelty of a few random strings, the same ones each time."""
+    rng = random.Random(f"{letters} {length}")
+    return sum(novelty("".join(rng.choices(letters, k=length)), "", "") for _ in range(4)) / 4
+
+
+def bar(candidate: str) -> float:
+    """Novelty from which a candidate is reported. It falls with the length, so that is rounded up to a few steps."""
+    used = set(candidate)
+    letters = next(a for a in _ALPHABETS if used - _SIGNS <= a) | used & _SIGNS
+    length = LEAST
+    while length < min(len(candidate), 4096):
+        length += max(1, length // 8)
+    return NOVELTY * min(1.0, _random_novelty("".join(sorted(letters)), length))
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind's number, start, end) of the fixed patterns, by start, then kind."""
     out = []
@@ -97,7 +122,8 @@ def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
             continue
         if any(m.start() < b and m.end() > a for _, a, b in base) or not _sensitive(text[max(0, m.start() - BEFORE) : m.start()]):
             continue
-        if novelty(s, text[max(0, m.start() - AROUND) : m.start()], text[m.end() : m.end() + AROUND]) >= NOVELTY:
+        new = novelty(s, text[max(0, m.start() - AROUND) : m.start()], text[m.end() : m.end() + AROUND])
+        if new >= NOVELTY or new >= bar(s):
             kind = 2 if re.fullmatch("[0-9a-f]+", s) else 1 if re.fullmatch("[A-Z0-9]+", s) else 0
             out.append((kind, m.start(), m.end()))
     return out

@@ -239,6 +239,19 @@ def test_secrets(spark, docs, plain, nothing):
     assert secrets.scan(nothing).count() == 0 and secrets.redacted(nothing).count() == 0
 
 
+def test_secrets_of_every_alphabet_and_length():
+    rng = np.random.default_rng(9)
+    digits, lower, upper = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for letters in (digits + upper[:6], digits + "abcdefABCDEF", upper + "234567", lower + "234567", digits + lower, digits + upper, digits + lower + upper, digits + lower + upper + "+/", digits + lower + upper + "-_"):
+        for n in (16, 24, 40, 56, 64, 80, 128, 192, 256, 512):
+            for _ in range(3):
+                secret = "".join(rng.choice(list(letters), n - 2)) + "7" + letters[12]
+                text = f"The private signing key of our connection is {secret} today"
+                assert [text[a:b] for _, a, b in secrets.added_spans(text, [])] == [secret]
+    for plain in ("customerAccountRepository7", "user_account_session_" * 12 + "1", "ABCDEF0123" * 30, "abc123" * 100):
+        assert secrets.added_spans(f"The private signing key of our connection is {plain} today", []) == []
+
+
 def test_substring_dedup(spark, docs, plain, nothing, monkeypatch):
     want = substring.plain_reference(plain)
     assert {r.doc_id: tuple(r)[1:] for r in substring.digest(substring.remove_repeats(docs)).collect()} == want
