@@ -1,7 +1,9 @@
 """Secrets in texts: fixed patterns, and strings that compression finds new.
 
 Beyond the base spans, each long run of key-like characters in a sensitive context (a word
-such as key, auth or credential close before it) is a candidate. Its novelty is the marginal
+such as key, auth or credential close before it) is a candidate, whole, of any length. Long
+runs joined by dots are one: the context before the first holds for all, and if any is new
+all are reported, as one span; base spans are cut out of it. A candidate's novelty is the marginal
 number of bytes zstandard needs for it, when primed with a dictionary of identifiers and the
 text around the candidate, divided by its length. Words, identifiers and repeats of the
 surroundings cost few bytes; random keys cost what random strings of their alphabet and length
@@ -38,7 +40,7 @@ _ASSIGN = re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _WORDS = ("passw", "secret", "token", "api")
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,512}")
+_RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}(?:\.[A-Za-z0-9+/_=-]{16,})*")
 _CUES = ("key", "secret", "token", "passw", "pwd", "auth", "bearer", "credential", "private", "signature", "session", "cookie", "connection")
 #: Words and identifiers that prime the dictionary, fixed.
 _IDENTIFIERS = (
@@ -110,25 +112,43 @@ def _sensitive(before: str) -> bool:
     return any(c in before for c in _CUES)
 
 
+def _outside(start: int, end: int, base: list[tuple[int, int, int]]):
+    """The pieces of text[start:end] that no base span meets."""
+    for _, a, b in base:
+        if a < end and b > start:
+            if a > start:
+                yield start, a
+            start = max(start, b)
+    if start < end:
+        yield start, end
+
+
 def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Candidates of enough novelty that no base span meets."""
+    """Candidates of enough novelty, without what base spans meet."""
     out: list[tuple[int, int, int]] = []
     low = text.lower()
     if not any(c in low for c in _CUES):
         return out
     for m in _RUN.finditer(text):
-        s = m.group()
-        if len(s) < LEAST or not re.search("[0-9]", s) or not re.search("[A-Za-z]", s):
-            continue
-        if any(m.start() < b and m.end() > a for _, a, b in base) or not _sensitive(text[max(0, m.start() - BEFORE) : m.start()]):
-            continue
-        new = novelty(s, text[max(0, m.start() - AROUND) : m.start()], text[m.end() : m.end() + AROUND])
-        if new >= NOVELTY or new >= bar(s):
-            kind = 2 if re.fullmatch("[0-9a-f]+", s) else 1 if re.fullmatch("[A-Z0-9]+", s) else 0
-            out.append((kind, m.start(), m.end()))
+        led = _sensitive(text[max(0, m.start() - BEFORE) : m.start()])
+        for start, end in _outside(m.start(), m.end(), base):
+            parts = [(start + p.start(), start + p.end()) for p in re.finditer(r"[^.]+", text[start:end])]
+            found = [(a, b) for a, b in parts if (led or _sensitive(text[max(0, a - BEFORE) : a])) and _new(text, a, b)]
+            if found:
+                a, b = (parts[0][0], parts[-1][1]) if led else (found[0][0], parts[-1][1])
+                s = text[a:b]
+                out.append((2 if re.fullmatch("[0-9a-f]+", s) else 1 if re.fullmatch("[A-Z0-9]+", s) else 0, a, b))
     return out
 
 
+def _new(text: str, a: int, b: int) -> bool:
+    s = text[a:b]
+    if len(s) < LEAST or not re.search("[0-9]", s) or not re.search("[A-Za-z]", s):
+        return False
+    new = novelty(s, text[max(0, a - AROUND) : a], text[b : b + AROUND])
+    return new >= NOVELTY or new >= bar(s)
+
+
 def _spans(text: str) -> tuple[list, list]:
     base = base_spans(text)
     return base, sorted(base + added_spans(text, base), key=lambda s: (s[1], s[0]))

@@ -239,11 +239,23 @@ def test_secrets(spark, docs, plain, nothing):
     assert secrets.scan(nothing).count() == 0 and secrets.redacted(nothing).count() == 0
 
 
+def test_secrets_are_found_whole():
+    rng = np.random.default_rng(8)
+    key = lambda n: "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), n))
+    for secret in (key(1600), ".".join(key(n) for n in (36, 400, 342))):
+        text = f"the private key is {secret} and so on"
+        assert [text[a:b] for _, a, b in secrets.added_spans(text, [])] == [secret]
+    secret, known = key(700), "0123456789abcdef" * 4
+    text = f"the private key is {known}/{secret}. Next"
+    base = secrets.base_spans(text)
+    assert [text[a:b] for _, a, b in base + secrets.added_spans(text, base)] == [known, f"/{secret}"]
+
+
 def test_secrets_of_every_alphabet_and_length():
     rng = np.random.default_rng(9)
     digits, lower, upper = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     for letters in (digits + upper[:6], digits + "abcdefABCDEF", upper + "234567", lower + "234567", digits + lower, digits + upper, digits + lower + upper, digits + lower + upper + "+/", digits + lower + upper + "-_"):
-        for n in (16, 24, 40, 56, 64, 80, 128, 192, 256, 512):
+        for n in (16, 24, 40, 56, 64, 80, 128, 192, 256, 512, 1000, 4000):
             for _ in range(3):
                 secret = "".join(rng.choice(list(letters), n - 2)) + "7" + letters[12]
                 text = f"The private signing key of our connection is {secret} today"
