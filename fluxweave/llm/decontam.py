@@ -7,8 +7,9 @@ whole window of GUARANTEE words, which must be one of the item's. An item of few
 one window of its own length; its fingerprint is its whole sequence.
 
 The benchmark's index is sent to all tasks only while its text is under INDEX_BYTES; a
-larger benchmark is taken in parts of that size, each matched against all documents, and
-the hits of a document are united. Documents are never shuffled in the first case.
+larger benchmark is taken in parts of that size. Each row passes them one after the other and
+carries its hits along; after CHAIN parts the rows are written, so that a task holds that many
+indexes at most. Documents are never shuffled.
 
 Null texts have no words. Repeated rows each get a row; an item_id that is null is
 ignored; other columns are ignored.
@@ -24,11 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluxweave.llm import textkit as tk
+from fluxweave.runtime import cut
 
 GUARANTEE = 10
 K = 5
 INDEX_BYTES = 32 << 20
+CHAIN = 4
 _OUT = "doc_id long, n_words long, n_hit long, items array<string>, hit binary"
+_CARRIED = f"{_OUT}, text string"
 
 
 def _grams(h: np.ndarray, n: int) -> np.ndarray:
@@ -100,10 +104,13 @@ def _member(values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[at] == x, at
 
 
-def _matcher(index: BenchmarkIndex, with_mask: bool):
+def _matcher(index: BenchmarkIndex, carry: bool):
+    """Matches rows; with the hits they carry, those of earlier parts of the benchmark are united."""
+
     def match(batches):
         for batch in batches:
             ids = batch.column("doc_id")
+            before = (batch.column("hit"), batch.column("items")) if "hit" in batch.schema.names else None
             for found in tk.words(batch.column("text"), tk.ALNUM_LOWER):
                 h, first = found.hashes(), found.first
                 step = np.zeros(len(h) + 1, np.int64)
@@ -116,41 +123,29 @@ def _matcher(index: BenchmarkIndex, with_mask: bool):
                     for r, e in zip(rows.tolist(), entry.tolist(), strict=True):
                         per_row.setdefault(r, set()).update(items[edges[e] : edges[e + 1]].tolist())
                 hit = np.cumsum(step)[:-1] > 0
-                total = np.append(0, np.cumsum(hit))
                 rows = range(found.hi - found.lo)
+                names = [set(index.names[list(per_row[r])]) if r in per_row else set() for r in rows]
+                for r in rows if before else ():
+                    if before[0][found.lo + r].is_valid:
+                        mine = hit[first[r] : first[r + 1]]
+                        mine |= np.unpackbits(np.frombuffer(before[0][found.lo + r].as_py(), np.uint8), count=len(mine)).astype(bool)
+                        names[r].update(before[1][found.lo + r].as_py())
+                total = np.append(0, np.cumsum(hit))
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(found.lo, found.hi - found.lo),
                         pa.array(np.diff(first), pa.int64()),
                         pa.array(total[first[1:]] - total[first[:-1]], pa.int64()),
-                        pa.array([sorted(set(index.names[list(per_row[r])])) if r in per_row else [] for r in rows], pa.list_(pa.string())),
-                        pa.array([np.packbits(hit[first[r] : first[r + 1]]).tobytes() if with_mask and r in per_row else None for r in rows], pa.binary()),
+                        pa.array([sorted(x) for x in names], pa.list_(pa.string())),
+                        pa.array([np.packbits(hit[first[r] : first[r + 1]]).tobytes() if carry and names[r] else None for r in rows], pa.binary()),
+                        *([batch.column("text").slice(found.lo, found.hi - found.lo)] if carry else []),
                     ],
-                    ["doc_id", "n_words", "n_hit", "items", "hit"],
+                    ["doc_id", "n_words", "n_hit", "items", "hit", *(["text"] if carry else [])],
                 )
 
     return match
 
 
-def _united(table: pa.Table) -> pa.Table:
-    """Hits of one document in several parts of the benchmark."""
-    n = table.column("n_words")[0].as_py()
-    hit = np.zeros(n, bool)
-    for x in table.column("hit").to_pylist():
-        if x is not None:
-            hit |= np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool)
-    items = sorted({y for x in table.column("items").to_pylist() for y in x})
-    return pa.table(
-        {
-            "doc_id": table.column("doc_id").slice(0, 1),
-            "n_words": pa.array([n], pa.int64()),
-            "n_hit": pa.array([int(hit.sum())], pa.int64()),
-            "items": pa.array([items], pa.list_(pa.string())),
-            "hit": pa.array([None], pa.binary()),
-        }
-    )
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """(doc_id, n_words, n_hit, items) for each row of docs(doc_id, text) against benchmark(item_id, text)."""
     texts = tk.modest_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -160,13 +155,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, index_bytes: int = INDE
         rows = [(r[0], r[1]) for r in items.collect()]  # under index_bytes, as checked
         return texts.mapInArrow(_matcher(BenchmarkIndex(rows), False), _OUT).drop("hit")
     parts = -(-2 * size // index_bytes)
-    keyed = texts.withColumn("part_of", F.lit(0))
-    found = None
     for k in range(parts):
         rows = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).collect()]
-        one = keyed.mapInArrow(_matcher(BenchmarkIndex(rows), True), _OUT)
-        found = one if found is None else found.unionByName(one)
-    return found.groupBy("doc_id").applyInArrow(_united, _OUT).drop("hit")
+        texts = texts.mapInArrow(_matcher(BenchmarkIndex(rows), True), _CARRIED)
+        if k % CHAIN == CHAIN - 1 and k + 1 < parts:
+            texts = cut(texts, "matched")
+    return texts.drop("hit", "text")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:

@@ -317,3 +317,14 @@ def test_decontamination(spark, docs, plain, nothing, item):
         assert {r.doc_id for r in kept.collect()} == {i for i, x in want.items() if not x[4]} and kept.columns == docs.columns
     assert decontam.contamination(nothing, bench).count() == 0
     assert all(not r.n_hit for r in decontam.contamination(docs, bench.where("false")).collect())
+
+
+def test_decontamination_keeps_every_row_in_parts(spark, plain, item):
+    """Repeated rows and null ids each get a row of their own, whatever the benchmark's size."""
+    texts = [(None, item), (None, "alpha1 beta2"), (None, None), (7, item), (7, item), (7, "one"), (8, "")]
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, "alpha1 beta2"), (5, "one"), (6, item + " more"), *((k, f"x{k}") for k in range(20, 40))], "item_id long, text string")
+    rows = lambda limit: sorted(map(str, decontam.digest(decontam.contamination(table, bench, limit)).collect()))
+    want = rows(decontam.INDEX_BYTES)
+    assert len(want) == len(texts) and sum("contaminated=True" in x for x in want) == 5
+    assert rows(80) == rows(400) == want
