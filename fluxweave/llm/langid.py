@@ -174,14 +174,16 @@ def train(texts: list[str], langs: list[str], seed: int = 1) -> Model:
 
 
 def fit(docs: DataFrame, lang: str = "lang", sample: int = SAMPLE) -> Model:
-    """Train on a bounded hash sample of the labelled rows of docs(doc_id, text, lang)."""
+    """Train on a bounded hash sample of the labelled rows of docs(doc_id, text, lang), long ones by pieces of SAMPLE_CHARS."""
     usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("doc_id is not null and text is not null and lang is not null")
-    usable = usable.where(F.length("text").between(1, SAMPLE_CHARS))
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    usable = usable.where(F.length("text") > 0).withColumn("pieces", F.ceil(F.length("text") / SAMPLE_CHARS))
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.sum("pieces").alias("n")).collect()}
     if not counts:
         return Model([UNDETERMINED], np.zeros(((1 << BUCKETS_LOG2) + 1, 1)), np.zeros(1))
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample / n))])
-    chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
+    place = lambda k: F.pmod(F.when(k == 0, F.xxhash64("doc_id")).otherwise(F.xxhash64("doc_id", k)), F.lit(1_000_003))
+    taken = F.filter(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1), lambda k: place(k) < share[F.col("lang")] * 1_000_003)
+    chosen = usable.withColumn("piece", F.explode(taken)).select("doc_id", "lang", F.substring("text", (F.col("piece") * SAMPLE_CHARS + 1).cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
     rows = sorted((r["doc_id"], r["lang"], r["text"]) for r in chosen.collect())
     return train([r[2] for r in rows], [r[1] for r in rows])
 

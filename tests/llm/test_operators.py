@@ -70,6 +70,18 @@ def test_language_id_on_held_out_texts(spark, nothing, docs):
     assert langid.predict(nothing.select("doc_id", "text"), model).count() == 0
 
 
+def test_language_of_long_documents_only_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 400)
+    words = {"aa": "kala mora suve tipo lano", "bb": "grust zweck pfahl schrum knopf"}
+    rng = np.random.default_rng(1)
+    data = [(i, " ".join(rng.choice(words[k].split(), 30 if k == "aa" else 300)), k) for i in range(120) for k in [list(words)[i % 2]]]
+    table = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = langid.fit(table.where("doc_id < 100"), sample=60)
+    assert list(model.languages) == ["aa", "bb"]
+    out = langid.predict(table.where("doc_id >= 100"), model).collect()
+    assert sum(r.lang == r.lang_pred for r in out) >= 19
+
+
 def test_lm_score_base_and_model(spark, plain, docs, nothing):
     marked = docs.withColumn("held", langid.in_fold("doc_id", 10, 0))
     got = {r.doc_id: r for r in lmscore.score(marked, "held").collect()}
