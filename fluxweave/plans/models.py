@@ -280,7 +280,7 @@ def find_sources(spark, sf_dir):
     return found.sources.select("source_id", "n_components", r("flux", 4), r("centroid_x", 3), r("centroid_y", 3), r("ra", 7), r("dec", 7), "flags")
 
 
-@query("E1 T8 T13 T16 (continuum profile)")
+@query("E1 T8 T13 (continuum profile)")
 def find_sources_continuum(spark, sf_dir):
     found = finder.find_sources(_image(spark, sf_dir), finder.FinderConfig())
     return found.components.select("component_id", "source_id", "model", "reason", r("flux", 4), r("ra", 7), r("dec", 7))

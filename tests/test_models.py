@@ -299,3 +299,9 @@ def test_every_query_names_what_it_covers():
 
     assert set(plans.COVERS) == set(plans.QUERIES) and all(plans.COVERS.values())
     assert set(plans.SQL) <= set(plans.QUERIES)
+
+
+def test_the_finder_claims_no_step_it_lacks():
+    from fluxweave import plans
+
+    assert "T16" not in plans.COVERS["find_sources_continuum"].split()
