@@ -1,7 +1,9 @@
 """Vectorised text scanning for Arrow string columns.
 
-A column is taken as one byte buffer; words are found with byte masks and hashed
-with a per-byte polynomial over 64 bits, so there is no Python loop per word.
+A column is taken as one byte buffer; words are found with byte masks and hashed by
+their 8-byte parts, so there is no Python loop per word. A part goes through a bijective
+mixer before parts are summed, so texts built against polynomial hashes do not collide.
+Where a hash decides a result, a second one of another family (`other`) makes 128 bits.
 Null texts have no words.
 """
 
@@ -27,21 +29,27 @@ ALNUM_LOWER = bytes(
 )
 
 _rng = np.random.default_rng(20240607)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, grown on demand."""
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES // 4)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            table = np.full(size, base, np.uint64)
+_OTHER_BASE = np.uint64(0xD1342543DE82EF95)
+_PART, _LENGTH = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first k bytes of eight
+_MOST_POWERS = CHUNK_BYTES // 2  # longer tables are made for one call and not kept
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _power_tables(n: int, base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64."""
+    kept = _powers.get(int(base))
+    if kept is None or len(kept[0]) < n:
+        made = []
+        for b in (base, np.uint64(pow(int(base), -1, 1 << 64))):
+            table = np.full(max(n, 1 << 16), b, np.uint64)
             table[0] = 1
-            _powers[k] = np.multiply.accumulate(table)
-    return _powers[0][:n], _powers[1][:n]
+            made.append(np.multiply.accumulate(table))
+        kept = made[0], made[1]
+        if n <= _MOST_POWERS:
+            _powers[int(base)] = kept
+    return kept[0][:n], kept[1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,15 +61,44 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def rolling(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def rolling(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64 = _BASE) -> np.ndarray:
     """Polynomial hash of values[start:end] for every pair, by prefix sums modulo 2**64."""
-    up, down = _power_tables(len(values) + 1)
+    up, down = _power_tables(len(values) + 1, base)
     sums = np.empty(len(values) + 1, np.uint64)
     sums[0] = 0
     np.cumsum(values * down[: len(values)], out=sums[1:])
     return (sums[ends] - sums[starts]) * up[starts]
 
 
+def other(values: np.ndarray) -> np.ndarray:
+    """Hashes of words to a second family; with the first they make 128 bits of a sequence."""
+    return mix(values ^ _PART)
+
+
+def rolling_other(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The second family's hash of values[start:end]."""
+    return mix(rolling(other(values), starts, ends, _OTHER_BASE))
+
+
+def hash_spans(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of data[start:end] for every pair: of its 8-byte parts, their order and its length."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    eight = np.ndarray((len(data) + 1,), "<u8", data + bytes(8), strides=(1,))
+    size = ends - starts
+    total = mix((eight[starts] & _KEEP[np.minimum(size, 8)]) + _PART)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        more = (size[long] - 1) // 8  # parts after the first
+        begin = np.append(0, np.cumsum(more)[:-1])
+        number = np.arange(int(more.sum())) - np.repeat(begin, more) + 1
+        at = np.repeat(starts[long], more) + 8 * number
+        left = np.minimum(np.repeat(ends[long], more) - at, 8)
+        part = mix((eight[at] & _KEEP[left]) + _PART * (number + 1).astype(np.uint64))
+        total[long] += np.add.reduceat(part, begin)
+    return mix(total + size.astype(np.uint64) * _LENGTH)
+
+
 def modest_batches(df: DataFrame) -> DataFrame:
     """The same rows; Arrow batches of the session hold BATCH_ROWS rows at most from now on."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -85,9 +122,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word, equal for equal words wherever they stand."""
-        if not len(self.starts):
-            return np.zeros(0, np.uint64)
-        return mix(rolling(_BYTE[np.frombuffer(self.data, np.uint8)], self.starts, self.ends))
+        return hash_spans(self.data, self.starts, self.ends)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, memoryview]:
