@@ -2,7 +2,7 @@
 
 Each document's ids (with the end id) are cut into pieces of `length` and one rest. Rests
 are packed first-fit decreasing, separately in groups of documents drawn by a hash of
-doc_id; a tournament tree over the open sequences' free room finds the first that fits in
+doc_id and text; a tournament tree over the open sequences' free room finds the first that fits in
 a logarithmic number of steps. A full piece is a sequence of its own. Groups hold about
 GROUP_DOCS documents at any input size; only lengths and checksums are shuffled, no text.
 
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluxweave.llm.textkit import modest_batches
-from fluxweave.llm.tokens import encoder
+from fluxweave.llm.tokens import encoder, with_end
 
 LENGTH = 1024
 END_ID = 0
@@ -73,25 +73,22 @@ def pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_id: int =
     texts = modest_batches(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-        F.pmod(F.xxhash64("doc_id", F.lit(20240607)), F.lit(groups)).alias("group_id"),
+        F.pmod(F.xxhash64("doc_id", "text", F.lit(20240607)), F.lit(groups)).alias("group_id"),
     )
 
     def cut(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                rows = []
-                codes = encoder(vocabulary, cache_words).encode(part.column("text").to_pylist())
-                for i, group, code in zip(part.column("doc_id").to_pylist(), part.column("group_id").to_pylist(), codes, strict=True):
-                    code = np.append(code, np.uint32(end_id)).astype("<u4")
-                    for a in range(0, len(code), length):
-                        p = code[a : a + length]
-                        rows.append((i, a, len(p), zlib.crc32(p.tobytes()), len(code), group))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)],
-                    ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "group_id"],
-                )
-        encoder(vocabulary).rest()
+            flat, edges = with_end(*encoder(vocabulary, cache_words).encode_column(batch.column("text")), end_id)
+            size = np.diff(edges)
+            count = -(-size // length)
+            row = np.repeat(np.arange(len(size)), count)
+            start = (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * length
+            most = np.minimum(length, size[row] - start)
+            data, begin = memoryview(flat.tobytes()), (edges[row] + start) * 4
+            sums = [zlib.crc32(data[a:b]) for a, b in zip(begin.tolist(), (begin + 4 * most).tolist(), strict=True)]
+            ids, group = (batch.column(c).take(pa.array(row)) for c in ("doc_id", "group_id"))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(start), pa.array(most), pa.array(sums, pa.int64()), pa.array(size[row]), group], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "group_id"])
+        encoder(vocabulary, cache_words).rest()
 
     return texts.mapInArrow(cut, _PIECE)
 

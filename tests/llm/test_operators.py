@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -53,6 +54,31 @@ def test_pieces_survive_a_small_memory(monkeypatch, plain):
     assert [c.tolist() for c in one.encode(texts)] == [c.ids for c in whole.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_pieces_of_any_characters_encode_like_whole_texts():
+    rng = random.Random(5)
+    parts = ["a", "b", "the", "S", "s", "t", "re", "É", "é", "ß", "Å", "×", "÷", "«", "'", "'", "1", "23", "²", ".", ",", "!!", "-", " ", " ", "  ", "\n", "\t", "\r\n", " \n", "一", "e\u0301", "\u0307", "I", "İ", "\x00", "\x7f", "<|", "_", "$", "ſ", "ñ", "Ñ", "\x85", "w" * 70]
+    for path in (WORD_BPE, BYTE_BPE):
+        one, whole = tokens.PieceEncoder(path, cache_words=300), Tokenizer.from_file(path)
+        for _ in range(12):
+            texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(100)]
+            assert [c.tolist() for c in one.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+        assert max(map(len, one.young)) <= tokens.CACHE_CHARS
+
+
+def test_token_files_with_null_and_repeated_ids(spark):
+    """Rows of one doc_id follow each other by text, those without one come last."""
+    rows = [(3, "b"), (None, "z"), (3, "a"), (-1, None), (None, None), (3, "a"), (2, "")]
+    tokenizer, start = Tokenizer.from_file(WORD_BPE), 0
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(tuple(r) for r in tokens.token_files(table, WORD_BPE).withColumnRenamed("start", "a").select("a", "doc_id", "n_tokens", "ids_crc32").collect())
+    want = []
+    for i, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")):
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, tokens.END_ID], "<u4")
+        want.append((start, i, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert got == want
+
+
 def test_language_id_on_held_out_texts(spark, nothing, docs):
     words = {"aa": "kala mora suve tipo lano", "bb": "grust zweck pfahl schrum knopf", "cc": "oui leaux mentre çaque élan"}
     rng = np.random.default_rng(1)
@@ -305,6 +331,14 @@ def test_packing(spark, docs, plain, nothing):
     assert packing.pack(nothing, BYTE_BPE).count() == 0
 
 
+def test_packing_wastes_little(spark):
+    rng = random.Random(6)
+    rows = [(k, " ".join("word" + str(rng.randrange(90)) for _ in range(rng.randrange(1, 700)))) for k in range(400)]
+    packed = packing.pack(spark.createDataFrame([*rows, (None, "x"), (None, None), (7, "x")], "doc_id long, text string"), BYTE_BPE, group_docs=100).collect()
+    assert sum(r.length for r in packed) / (packing.LENGTH * len({r.sequence_id for r in packed})) > 0.97
+    assert sum(r.doc_id is None for r in packed) == 2
+
+
 def test_first_fit_is_the_first_that_fits():
     sizes = np.random.default_rng(4).integers(1, 1024, 300)
     bins, offsets = packing.first_fit_decreasing(sizes, 1024)
