@@ -180,6 +180,38 @@ def test_lm_contexts_cross_blanks(spark):
     assert not math.isclose(got[0].score, got[1].score, rel_tol=1e-3)  # the same words in another order
 
 
+def test_lm_scores_do_not_depend_on_blocks(spark, docs, monkeypatch):
+    """Many blocks, pooled in several rounds, give what one block gives."""
+    marked = docs.withColumn("held", langid.in_fold("doc_id", 10, 0)).unionByName(docs.limit(3).withColumn("held", langid.in_fold("doc_id", 10, 0)))
+    rows = lambda: sorted(tuple(r) for r in lmscore.score(marked, "held", crossing=True).collect())
+    want = rows()
+    monkeypatch.setattr(lmscore, "BLOCK_CHARS", 20_000)
+    monkeypatch.setattr(lmscore, "FAN", 3)
+    got = rows()
+    assert len(got) == len(want) > 9
+    for a, b in zip(got, want, strict=True):
+        assert a[:5] == b[:5] and all(math.isclose(x, y, rel_tol=1e-6) for x, y in zip(a[5:], b[5:], strict=True))
+
+
+def _thue_morse(n: int, a: str, b: str) -> str:
+    return "".join(b if k.bit_count() % 2 else a for k in range(n))
+
+
+def test_words_that_defeat_polynomial_hashes_are_told_apart(spark):
+    """Two words whose polynomial hashes modulo 2**64 are equal for any base."""
+    x, y = _thue_morse(2048, "a", "b"), _thue_morse(2048, "b", "a")
+    rows = [(1, " ".join([x] * 60)), (2, " ".join([y] * 60)), (3, " ".join([x] * 7)), (4, " ".join([y] * 7))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: tuple(r)[1:] for r in substring.digest(substring.remove_repeats(table)).collect()} == substring.plain_reference(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in dedup.near_duplicates(table).collect()} == near_groups(rows)
+    bench = spark.createDataFrame([(1, " ".join([x] * 10))], "item_id long, text string")
+    assert {r.doc_id: r.n_hit for r in decontam.contamination(table, bench).collect()} == {1: 60, 2: 0, 3: 0, 4: 0}
+    scored = lmscore.score(table.withColumn("held", table.doc_id == 2), "held", crossing=True)
+    assert {r.doc_id: r.n_known for r in scored.collect()} == {1: 61, 2: 61, 3: 8, 4: 8}
+    scored = lmscore.score(table.where("doc_id < 3").withColumn("held", table.doc_id == 2), "held", crossing=True)
+    assert {r.doc_id: r.n_known for r in scored.collect()} == {1: 61, 2: 1}
+
+
 def test_near_duplicates(spark, docs, plain, nothing):
     want = near_groups(plain)
     got = {r.doc_id: r for r in dedup.near_duplicates(docs).collect()}
