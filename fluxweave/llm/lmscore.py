@@ -40,7 +40,7 @@ from fluxweave.runtime import cut
 DEPTH = 7  # bytes of context; with the next byte they fill 64 bits
 STEM = 3  # depth at which the buckets' subtrees begin
 LIMB = 1  # depth at which the groups over them begin
-BLOCK_CHARS = 24 << 20
+BLOCK_CHARS = 16 << 20
 FAN = 64  # most messages that meet in one group
 BUCKETS = 16  # buckets for the square root of the number of blocks
 _END = 0x0A
@@ -118,30 +118,40 @@ def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
         return keys, weights
     order = np.argsort(keys)
     keys, weights = keys[order], weights[order]
-    heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    heads = np.flatnonzero(_heads(keys))
     return keys[heads], np.add.reduceat(weights, heads)
 
 
-def _counted(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, ascending, and how often each occurs."""
-    every = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-    keys.clear()
+def _heads(x: np.ndarray) -> np.ndarray:
+    """Whether each entry of a sorted array is the first of its value."""
+    heads = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=heads[1:])
+    return heads
+
+
+def _counted(every: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and how often each occurs; the array given is sorted."""
     every.sort()
-    heads = np.flatnonzero(np.append(True, every[1:] != every[:-1])[: len(every)])
+    heads = np.flatnonzero(_heads(every))
     return every[heads], np.diff(np.append(heads, len(every)))
 
 
 def _block_pairs(table: pa.Table, crossing: bool) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs of a block, ascending, with how often training has them."""
-    train = ~np.array(table.column("held_out").to_pylist(), bool)
-    trained, held = [], []
-    for lo, hi, key, first in _pairs(table.column("text").combine_chunks(), crossing):
-        mine = np.repeat(train[lo:hi], np.diff(first))
-        trained.append(key[mine])
-        held.append(key[~mine])
-    keys, count = _counted(trained)
-    more = _counted(held)[0]
-    return _summed(np.append(keys, more), np.append(count, np.zeros(len(more), np.int64)))
+    held_rows = np.array(table.column("held_out").to_pylist(), bool)
+    text = table.column("text").combine_chunks()
+    offsets, _ = tk.buffers(text)
+    every = np.empty(int(offsets[-1] - offsets[0]) + 2 * len(text), np.uint64)  # one for each byte, blank and end at most
+    held, n = [], 0
+    for lo, hi, key, first in _pairs(text, crossing):
+        every[n : n + len(key)] = key
+        n += len(key)
+        held.append(key[np.repeat(held_rows[lo:hi], np.diff(first))])
+    keys, count = _counted(every[:n])
+    del every
+    others, more = _counted(np.concatenate(held) if held else np.zeros(0, np.uint64))
+    count[np.searchsorted(keys, others)] -= more
+    return keys, count
 
 
 # --- weighting -------------------------------------------------------------------------
@@ -184,7 +194,7 @@ class _Level:
     def deepest(cls, keys: np.ndarray, weights: np.ndarray, bit: int) -> _Level:
         """Of ascending keys: the whole context and the bits decided before this one."""
         ids, ones = keys & ~np.uint64(0xFF) | (keys & np.uint64(0xFF)) >> np.uint64(8 - bit), (keys >> np.uint64(7 - bit) & np.uint64(1)).astype(bool)
-        heads = np.append(True, ids[1:] != ids[:-1])[: len(ids)]
+        heads = _heads(ids)
         inverse = np.cumsum(heads) - 1
         n = int(heads.sum())
         return cls(DEPTH, bit, ids[heads], np.bincount(inverse, weights * ~ones, n), np.bincount(inverse, weights * ones, n), inverse.astype(np.int32))
@@ -463,7 +473,7 @@ def score(docs: DataFrame, held_out: str, crossing: bool = False) -> DataFrame:
     def pair_scores(table: pa.Table, said: dict[tuple[int, int], bytes]) -> tuple[list, list]:
         """Score and bytes of each row."""
         text = table.column("text").combine_chunks()
-        keys, _ = _counted([key for _, _, key, _ in _pairs(text, crossing)])
+        keys, _ = _block_pairs(table, crossing)
         logs = np.zeros(len(keys), np.float32)
         for k, at in _runs(stems(keys)):
             logs[at] = np.frombuffer(said[1, k], np.float32)
@@ -471,7 +481,7 @@ def score(docs: DataFrame, held_out: str, crossing: bool = False) -> DataFrame:
         for _, _, key, first in _pairs(text, crossing):
             order = np.argsort(key)
             sorted_ = key[order]
-            heads = np.append(True, sorted_[1:] != sorted_[:-1])[: len(key)]
+            heads = _heads(sorted_)
             value = np.empty(len(key))
             value[order] = logs[np.searchsorted(keys, sorted_[heads])][np.cumsum(heads) - 1]
             scores += (np.add.reduceat(value, first[:-1]) / np.log(10)).tolist()
