@@ -521,7 +521,7 @@ def score(docs: DataFrame, held_out: str, crossing: bool = False) -> DataFrame:
     counted = words.groupBy("bucket").applyInArrow(_word_answers, _MESSAGE)
     counted = _returned(counted.where(F.col("block") != _META), word_rounds, np.int64).unionByName(counted.where(F.col("block") == _META)) if word_rounds else counted
     pairs, pair_rounds = _gathered(by_block.applyInArrow(send_pairs, _MESSAGE), blocks)
-    nodes = cut(pairs.groupBy("bucket").applyInArrow(_stems, _MESSAGE), "stems")
+    nodes = pairs.groupBy("bucket").applyInArrow(_stems, _MESSAGE)
     limbs = nodes.groupBy("block").applyInArrow(_limbs, _MESSAGE)
     root = limbs.groupBy("bucket").applyInArrow(_root, _MESSAGE)  # 256 rows at most
     above = nodes.groupBy("block").cogroup(root.groupBy("block")).applyInArrow(_stem_answers, _MESSAGE)

@@ -222,6 +222,19 @@ def test_near_duplicates(spark, docs, plain, nothing):
     assert dedup.near_duplicates(nothing).count() == 0
 
 
+def test_near_duplicates_of_rows_that_share_an_id(spark):
+    """Each row is linked by its own text; rows without an id are the last of their group."""
+    rng = random.Random(4)
+    x, y, z = (" ".join(f"{c}{rng.randrange(10**6)}" for _ in range(80)) for c in "xyz")
+    rows = [(5, x), (5, y), (7, y + " end"), (9, x + " end"), (None, z), (None, z + " end"), (None, z), (3, None), (None, ""), (None, x)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in dedup.near_duplicates(table).collect()), key=str)
+    assert got == sorted([(5, 76, 5, True), (5, 76, 5, True), (7, 77, 5, False), (9, 77, 5, False), (None, 76, None, True), (None, 77, None, True), (None, 76, None, True), (3, 0, 3, True), (None, 0, None, True), (None, 76, 5, False)], key=str)
+    kept = [(r.doc_id, r.text) for r in dedup.deduplicate(table).collect()]
+    assert len(kept) == 5 and {t for i, t in kept if i == 5} == {x, y} and {(3, None), (None, "")} <= set(kept)
+    assert sum(i is None and t is not None and t.startswith(z) for i, t in kept) == 1
+
+
 def test_near_duplicates_in_a_large_group_of_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(dedup, "BLOCK_ITEMS", 16)
     rng = np.random.default_rng(2)
