@@ -6,6 +6,8 @@ document's fingerprints are joined with the benchmark's, and each hit is extende
 whole window of GUARANTEE words, which must be one of the item's. An item of fewer words is
 one window of its own length; its fingerprint is its whole sequence.
 
+A window is known by 128 bits, two hashes of different families.
+
 The benchmark's index is sent to all tasks only while its text is under INDEX_BYTES; a
 larger benchmark is taken in parts of that size. Each row passes them one after the other and
 carries its hits along; after CHAIN parts the rows are written, so that a task holds that many
@@ -55,7 +57,7 @@ class BenchmarkIndex:
 
     def __init__(self, rows: list[tuple[str, str]]):
         self.names = np.array([r[0] for r in rows], object)
-        windows: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        windows: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         prints = []
         for found in tk.words(pa.array([r[1] for r in rows], pa.string()), tk.ALNUM_LOWER):
             h = found.hashes()
@@ -64,21 +66,22 @@ class BenchmarkIndex:
                 if not len(mine):
                     continue
                 n = min(len(mine), GUARANTEE)
-                g = np.unique(_grams(mine, n))
-                windows.setdefault(n, []).append((g, np.full(len(g), found.lo + r)))
+                at = np.arange(len(mine) - n + 1)
+                g, once = np.unique(_grams(mine, n), return_index=True)
+                windows.setdefault(n, []).append((g, tk.rolling_other(mine, at, at + n)[once], np.full(len(g), found.lo + r)))
                 if n == GUARANTEE:
                     prints.append(np.unique(_winnow(_grams(mine, K), GUARANTEE - K + 1)))
         self.prints = np.unique(np.concatenate(prints)) if prints else np.zeros(0, np.uint64)
         self.windows = {}
         for n, parts in windows.items():
-            g, item = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            g, more, item = (np.concatenate(c) for c in zip(*parts, strict=True))
             order = np.argsort(g, kind="stable")
             values, begin = np.unique(g[order], return_index=True)
-            self.windows[n] = values, np.append(begin, len(g)), item[order]
+            self.windows[n] = values, np.append(begin, len(g)), item[order], more[order[begin]]
 
     def hits(self, h: np.ndarray, first: np.ndarray):
         """(place of a window, its length, its entry) for all windows of rows that an item has."""
-        for n, (values, _, _) in self.windows.items():
+        for n, (values, _, _, others) in self.windows.items():
             m = len(h) - n + 1
             if m <= 0:
                 continue
@@ -93,7 +96,10 @@ class BenchmarkIndex:
             row = np.searchsorted(first, at, "right") - 1
             at = at[at + n <= first[row + 1]]
             known, entry = _member(values, tk.mix(tk.rolling(h, at, at + n)))
-            yield at[known], n, entry[known]
+            at, entry = at[known], entry[known]
+            if len(at):
+                same = others[entry] == tk.rolling_other(h, at, at + n)
+                yield at[same], n, entry[same]
 
 
 def _member(values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +124,7 @@ def _matcher(index: BenchmarkIndex, carry: bool):
                 for at, n, entry in index.hits(h, first):
                     np.add.at(step, at, 1)
                     np.add.at(step, at + n, -1)
-                    _, edges, items = index.windows[n]
+                    _, edges, items, _ = index.windows[n]
                     rows = np.searchsorted(first, at, "right") - 1
                     for r, e in zip(rows.tolist(), entry.tolist(), strict=True):
                         per_row.setdefault(r, set()).update(items[edges[e] : edges[e + 1]].tolist())

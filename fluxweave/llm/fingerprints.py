@@ -7,7 +7,8 @@ parts merge by keeping the K smallest of their union. From two sketches the rese
 Words are runs of anything but ASCII white space, in lower case (A-Z). A text of fewer words
 than a shingle has its whole sequence as one shingle; a null or wordless text has an
 empty sketch, written ''. Two empty sketches are alike (1.0); an empty and another are not.
-Equal texts have equal sketches, so ties and repeats are harmless.
+Equal texts have equal sketches, so ties and repeats are harmless. Rows of one doc_id follow
+each other by the hash of their text; those without a doc_id come last.
 """
 
 from __future__ import annotations
@@ -15,9 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluxweave.runtime import cut, partitions
+
 SHINGLE = 5
 K = 64
-RANGES = 1024  # most ranges of doc_id for the order of documents; their bounds are literals
+RANGE_CHARS = 32 << 20  # about the text of one range of doc_id in the order of documents
+LAST = 2**63 - 1
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _TOP = 2.0**63
 
@@ -76,55 +80,68 @@ def written(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-def _range_of(bounds: list[int]) -> str:
-    """A nested CASE that finds doc_id's range among sorted bounds by bisection."""
-
-    def build(lo: int, hi: int) -> str:
-        if lo == hi:
-            return str(lo)
-        mid = (lo + hi) // 2
-        return f"CASE WHEN doc_id < {bounds[mid]} THEN {build(lo, mid)} ELSE {build(mid + 1, hi)} END"
+def _in_ranges(docs: DataFrame, ranges: int) -> DataFrame:
+    """docs with `low`, the least doc_id of the range that a row is in: `ranges` of them or up to twice as many.
 
-    return build(0, len(bounds))
+    Ranges share all bits of doc_id but the lowest ones. One with too many rows is parted
+    again by lower bits, so ids may lie anywhere; a doc_id of many rows stays in one range.
+    """
+    ids = docs.select("doc_id").where("doc_id is not null")
+    least, most, n = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
+    shift = 0
+    while n and (most >> shift) - (least >> shift) >= 2 * ranges:
+        shift += 1
+    floor = lambda s: F.expr(f"shiftleft(shiftright(doc_id, {s}), {s})")
+    part = lambda table: table.withColumn("low", floor(shift))
+    placed, ids = part(docs), part(ids)
+    while shift > 0:
+        full = ids.groupBy("low").agg(F.count("*").alias("n")).where(F.col("n") > max(1, 4 * n // ranges)).select(F.col("low").alias("full"))
+        full = cut(full, "full")  # ranges / 4 rows at most
+        if full.isEmpty():
+            break
+        shift = max(0, shift - 6)
+        again = lambda table: table.join(F.broadcast(full), F.col("low") == F.col("full"), "left").withColumn("low", F.when(F.col("full").isNull(), F.col("low")).otherwise(floor(shift))).drop("full")  # noqa: E731, B023
+        placed, ids = again(placed), again(ids)
+    return placed.withColumn("low", F.coalesce("low", F.lit(LAST)))
 
 
 def with_next(docs: DataFrame, ranges: int) -> DataFrame:
-    """docs(doc_id, text, sketch) with the next document's next_text and next_sketch, by ascending doc_id.
+    """docs(doc_id, text, sketch) with the next document's next_text and next_sketch, in the order of documents.
 
-    The first follows the last. Documents are dealt into doc_id ranges of about equal size
-    (literal bounds from approximate quantiles); the text is shuffled once. A range's last
-    document is followed by the first of the next range that has any, so the first document
-    of each range is also sent to the range before it: those are known from one small
-    aggregate, bounded by the number of ranges.
+    The first follows the last. Documents are dealt into ranges of doc_id (of their texts'
+    hashes, where there is none); the text is shuffled once. A range's last document is
+    followed by the first of the next range, so each range's first document is also sent to
+    the range before it; those are one small table with a row for each range.
     """
-    quantiles = docs.select(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)] or [0.5], 10_000)).first()[0]
-    bounds = sorted(set(quantiles or []))
-    placed = docs.withColumn("part", F.expr(_range_of(bounds)).cast("int"))
-    firsts = [(r["part"], r["low"]) for r in placed.groupBy("part").agg(F.min("doc_id").alias("low")).collect()]  # a row for each range
-    firsts.sort()
-    before = {low: firsts[k - 1][0] for k, (_, low) in enumerate(firsts)}
-    homes = F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("guest")))
-    if before:
-        heads = F.create_map(*[F.lit(x) for low, part in before.items() for x in (low, part)])
-        guest = F.try_element_at(heads, F.col("doc_id"))
-        homes = F.when(guest.isNull(), homes).otherwise(
-            F.array(F.struct(F.col("part"), F.lit(False).alias("guest")), F.struct(guest.alias("part"), F.lit(True).alias("guest")))
-        )
-    dealt = placed.withColumn("home", F.explode(homes)).select("home.*", *docs.columns)
-    order = Window.partitionBy("part").orderBy("guest", "doc_id", F.xxhash64("text"))
-    return (
-        dealt.withColumn("next_text", F.lead("text").over(order))
-        .withColumn("next_sketch", F.lead("sketch").over(order))
-        .where("not guest")
-        .drop("part", "guest")
+    bits = max(1, ranges - 1).bit_length()
+    own = (
+        _in_ranges(docs, ranges)
+        .withColumn("unnamed", F.col("doc_id").isNull())
+        .withColumn("tie", F.xxhash64("text"))
+        .withColumn("part", F.struct("low", F.when(F.col("unnamed"), F.shiftright("tie", 64 - bits)).otherwise(F.lit(-LAST)).alias("sub")))
     )
+    place = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("order"), F.col("unnamed"), F.col("tie"))
+    own = own.select(*docs.columns, "part", place.alias("place"))
+    firsts = cut(own.groupBy("part").agg(F.min("place").alias("first")), "firsts")  # a row for each range
+    in_order = Window.orderBy("part")
+    last = firsts.agg(F.max("part")).first()[0]
+    last = F.struct(F.lit(last.low).cast("long").alias("low"), F.lit(last.sub).cast("long").alias("sub")) if last else F.col("part")
+    before = firsts.select("first", F.coalesce(F.lag("part").over(in_order), last).alias("to"))
+    sent = own.join(F.broadcast(before), F.col("place") == F.col("first"), "left")
+    homes = F.array(F.struct("part", F.lit(False).alias("guest")))
+    homes = F.when(F.col("to").isNull(), homes).otherwise(F.array_append(homes, F.struct(F.col("to").alias("part"), F.lit(True).alias("guest"))))
+    dealt = sent.withColumn("home", F.explode(homes)).select("home.*", *docs.columns, "place").repartition(ranges, "part")
+    # Rows that repeat a range's first one are guests, too: the least of them follows its last row.
+    window = Window.partitionBy("part").orderBy("guest", "place")
+    return dealt.withColumn("next_text", F.lead("text").over(window)).withColumn("next_sketch", F.lead("sketch").over(window)).where("not guest").drop("part", "guest", "place")
 
 
 def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """The contract's rows for docs(doc_id, text): fingerprints of each text and of its edited form."""
-    parts = ranges or max(1, min(RANGES, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    pairs = with_next(texts.where("doc_id is not null").withColumn("sketch", sketch(F.col("text"))), parts)
+    if ranges is None:
+        ranges = max(partitions(docs.sparkSession), -(-(texts.agg(F.sum(F.length("text"))).first()[0] or 0) // RANGE_CHARS))
+    pairs = with_next(texts.withColumn("sketch", sketch(F.col("text"))), ranges)
     edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 2) as int))"), F.expr("left(next_text, cast(floor(length(text) / 2) as int))"))
     both = pairs.withColumn("edited", edited).withColumn("edited_sketch", sketch(F.col("edited")))
     return both.select(

@@ -5,10 +5,10 @@ window whose words also start in a document with a smaller doc_id is a repeat, a
 union of repeats (maximal intervals) is removed.
 
 Two rounds keep the shuffle small without leaving a window out. Documents are dealt into
-blocks by a hash of doc_id, one block is a few MB of text. In the first round a block
+blocks by a hash of doc_id and text, one block is a few MB of text. In the first round a block
 sends 32 bits of each of its distinct window hashes to the hash range (bucket) they belong
 to, packed in one binary value for a bucket; the bucket answers with a bitmap of those that
-another block has too. In the second round a block sends the full hash and its own smallest
+another block has too. In the second round a block sends 128 bits and its own smallest
 doc_id of those only, and is told which ones have a smaller doc_id elsewhere. A window that
 a third of all rows hold is one entry for each block. Blocks and buckets grow in number,
 not in size; the text is shuffled once, as the three block steps share one exchange.
@@ -40,32 +40,48 @@ def _ids(table: pa.Table) -> np.ndarray:
     return table.column("doc_id").combine_chunks().fill_null(int(LAST)).to_numpy().astype(np.int64)
 
 
-def _window_hashes(found: tk.Words, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every window and the place of its first word."""
+def _window_hashes(found: tk.Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """128 bits of every window, in two halves, and the place of its first word."""
     counts = np.diff(found.first) - (window - 1)
     counts[counts < 0] = 0
     if not counts.sum():
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     at = np.arange(counts.sum()) + np.repeat(found.first[:-1] - np.append(0, np.cumsum(counts)[:-1]), counts)
-    return tk.mix(tk.rolling(found.hashes(), at, at + window)), at
+    words = found.hashes()
+    return tk.mix(tk.rolling(words, at, at + window)), tk.rolling_other(words, at, at + window), at
 
 
-def _block_windows(table: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """The block's distinct window hashes, ascending, and the smallest doc_id of each."""
+def _order(h: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by both halves, and where runs of equal ones begin; the second half is looked at where the first is equal."""
+    order = np.argsort(h)
+    same = h[order][1:] == h[order][:-1]
+    if (same & (more[order][1:] != more[order][:-1])).any():
+        order = np.lexsort((more, h))
+        same = h[order][1:] == h[order][:-1]
+    return order, np.flatnonzero(np.append(True, ~same | (more[order][1:] != more[order][:-1])))
+
+
+def _place(values: np.ndarray, others: np.ndarray, h: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Where both halves are among sorted ones; each is there."""
+    at = np.searchsorted(values, h)
+    while len(wrong := np.flatnonzero(others[at] != more)):
+        at[wrong] += 1
+    return at
+
+
+def _block_windows(table: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The block's distinct window hashes, ascending, their second halves, and the smallest doc_id of each."""
     ids = _ids(table)
-    hashes, docs = [], []
+    parts = []
     for found in tk.words(table.column("text").combine_chunks(), tk.SPACES):
-        h, at = _window_hashes(found, window)
-        hashes.append(h)
-        docs.append(ids[found.lo + np.searchsorted(found.first, at, "right") - 1])
-    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    d = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-    if not len(h):
-        return h, d
-    order = np.argsort(h)
-    h, d = h[order], d[order]
-    heads = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-    return h[heads], np.minimum.reduceat(d, heads)
+        h, more, at = _window_hashes(found, window)
+        parts.append((h, more, ids[found.lo + np.searchsorted(found.first, at, "right") - 1]))
+    if not sum(len(p[0]) for p in parts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    h, more, d = (np.concatenate(c) for c in zip(*parts, strict=True))
+    parts.clear()
+    order, heads = _order(h, more)
+    return h[order[heads]], more[order[heads]], np.minimum.reduceat(d[order], heads)
 
 
 def _ranges(h: np.ndarray, bits: int):
@@ -79,29 +95,31 @@ def _ranges(h: np.ndarray, bits: int):
 def _blobs(block: int, rows: list[tuple[int, bytes]]) -> pa.Table:
     return pa.table(
         {
-            "block": pa.array([block] * len(rows), pa.int32()),
-            "bucket": pa.array([r[0] for r in rows], pa.int32()),
+            "block": pa.array([block] * len(rows), pa.int64()),
+            "bucket": pa.array([r[0] for r in rows], pa.int64()),
             "data": pa.array([r[1] for r in rows], pa.binary()),
         }
     )
 
 
-_BLOB = "block int, bucket int, data binary"
+def _answers(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    return pa.table({name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate((("block", pa.int64()), ("bucket", pa.int64()), ("data", pa.binary())))})
+
+
+_BLOB = "block long, bucket long, data binary"
 
 
 def repeated_windows(texts: DataFrame, window: int, total_chars: int) -> tuple[DataFrame, DataFrame]:
     """(documents dealt into blocks, per block the window hashes that start in a smaller doc_id of another block)."""
     blocks = max(1, -(-total_chars // BLOCK_CHARS))
-    bits = min(24, max(0, int(np.ceil(np.log2(max(1, total_chars / 6 / BUCKET_WINDOWS))))))
-    dealt = texts.select(
-        F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), F.col("doc_id"), F.col("text")
-    )
+    bits = max(0, int(np.ceil(np.log2(max(1, total_chars / 6 / BUCKET_WINDOWS)))))
+    dealt = texts.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), "doc_id", "text")
 
     def short(h):
         return (h >> np.uint64(32 - bits)).astype(np.uint32)
 
     def first_send(table: pa.Table) -> pa.Table:
-        h, _ = _block_windows(table, window)
+        h, _, _ = _block_windows(table, window)
         return _blobs(table.column("block")[0].as_py(), [(k, short(h[a:b]).tobytes()) for k, a, b in _ranges(h, bits)])
 
     def first_answer(table: pa.Table) -> pa.Table:
@@ -116,46 +134,34 @@ def repeated_windows(texts: DataFrame, window: int, total_chars: int) -> tuple[D
                 hit = twice[at] == p
                 if hit.any():
                     rows.append((block, bucket, np.packbits(hit).tobytes()))
-        return pa.table(
-            {
-                "block": pa.array([r[0] for r in rows], pa.int32()),
-                "bucket": pa.array([r[1] for r in rows], pa.int32()),
-                "data": pa.array([r[2] for r in rows], pa.binary()),
-            }
-        )
+        return _answers(rows)
 
     def second_send(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(table) or not len(answers):
             return _blobs(0, [])
-        h, low = _block_windows(table, window)
+        h, more, low = _block_windows(table, window)
         said = dict(zip(answers.column("bucket").to_pylist(), answers.column("data").to_pylist(), strict=True))
         rows = []
         for k, a, b in _ranges(h, bits):
             if k in said:
                 hit = np.unpackbits(np.frombuffer(said[k], np.uint8), count=b - a).astype(bool)
-                rows.append((k, h[a:b][hit].tobytes() + low[a:b][hit].tobytes()))
+                rows.append((k, h[a:b][hit].tobytes() + more[a:b][hit].tobytes() + low[a:b][hit].tobytes()))
         return _blobs(table.column("block")[0].as_py(), rows)
 
     def second_answer(table: pa.Table) -> pa.Table:
         blocks_, buckets, parts = table.column("block").to_pylist(), table.column("bucket").to_pylist(), []
         for x in table.column("data").to_pylist():
-            parts.append((np.frombuffer(x[: len(x) // 2], np.uint64), np.frombuffer(x[len(x) // 2 :], np.int64)))
-        h, low = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        order = np.argsort(h)
-        heads = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
-        least_of, values = np.minimum.reduceat(low[order], heads), h[order][heads]
+            n = len(x) // 3
+            parts.append((np.frombuffer(x[:n], np.uint64), np.frombuffer(x[n : 2 * n], np.uint64), np.frombuffer(x[2 * n :], np.int64)))
+        h, more, low = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order, heads = _order(h, more)
+        least_of, values, others = np.minimum.reduceat(low[order], heads), h[order[heads]], more[order[heads]]
         rows = []
-        for block, bucket, (a, b) in zip(blocks_, buckets, parts, strict=True):
-            late = a[least_of[np.searchsorted(values, a)] < b]
-            if len(late):
-                rows.append((block, bucket, late.tobytes()))
-        return pa.table(
-            {
-                "block": pa.array([r[0] for r in rows], pa.int32()),
-                "bucket": pa.array([r[1] for r in rows], pa.int32()),
-                "data": pa.array([r[2] for r in rows], pa.binary()),
-            }
-        )
+        for block, bucket, (a, c, b) in zip(blocks_, buckets, parts, strict=True):
+            late = least_of[_place(values, others, a, c)] < b
+            if late.any():
+                rows.append((block, bucket, a[late].tobytes() + c[late].tobytes()))
+        return _answers(rows)
 
     by_block = dealt.groupBy("block")
     shared = by_block.applyInArrow(first_send, _BLOB).groupBy("bucket").applyInArrow(first_answer, _BLOB)
@@ -181,13 +187,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         n_words, n_removed, kept = [], [], []
         if len(table):
             ids = _ids(table)
-            values, low = _block_windows(table, window)
+            values, others, low = _block_windows(table, window)
             elsewhere = np.zeros(len(values), bool)
             for x in answers.column("data").to_pylist():
-                elsewhere[np.searchsorted(values, np.frombuffer(x, np.uint64))] = True
+                elsewhere[_place(values, others, *np.frombuffer(x, np.uint64).reshape(2, -1))] = True
             for found in tk.words(table.column("text").combine_chunks(), tk.SPACES):
-                h, at = _window_hashes(found, window)
-                place = np.searchsorted(values, h)
+                h, more, at = _window_hashes(found, window)
+                place = _place(values, others, h, more)
                 row = np.searchsorted(found.first, at, "right") - 1
                 gone = _covered(found, at[elsewhere[place] | (low[place] < ids[found.lo + row])], window)
                 lost = np.append(0, np.cumsum(gone))

@@ -251,22 +251,61 @@ def test_near_duplicates_in_a_large_group_of_many_blocks(spark, monkeypatch):
 
 
 def test_fingerprints(spark, docs, plain, nothing):
-    order = sorted((i, t or "") for i, t in plain)
-    for ranges in (1, 7):
-        got = {r.doc_id: r for r in fingerprints.fingerprints(docs, ranges).collect()}
-        assert len(got) == len(order)
-        for k, (i, t) in enumerate(order):
-            half = len(t) // 2
-            edited = t[: len(t) - half] + order[(k + 1) % len(order)][1][:half]
-            assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-            assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
-    by_text = defaultdict(set)
-    for i, t in order:
-        by_text[t].add(got[i].fingerprint)
-    assert all(len(x) == 1 for x in by_text.values()) and by_text[""] == {""}
+    _check_fingerprints(docs, plain)
     assert fingerprints.fingerprints(nothing).count() == 0
 
 
+def test_fingerprints_of_any_ids(spark):
+    """Null and repeated ids, ids far apart and close together, identical rows."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 3) for _ in range(rng.randrange(0, 90))) for _ in range(60)]
+    ids = [*range(100, 130), 5, 5, 5, -(2**63), 2**63 - 1, -7, 2**40, 2**40 + 1, *[None] * 8]
+    rows = [(i, t) for i, t in zip(ids, texts, strict=False)]
+    rows += [(5, rows[30][1]), (None, None), (None, rows[-1][1]), (77, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    _check_fingerprints(table, rows)
+
+
+def _plain_sketches(spark, texts):
+    """text -> sketch, from Spark's hash of single words and shingles only."""
+    split = {t: re.findall(SPACE, t.translate(LOW)) for t in texts}
+    words = sorted({w for ws in split.values() for w in ws})
+    code = {r[0]: r[1] for r in spark.createDataFrame([(w,) for w in words] or [("",)], "w string").selectExpr("w", "xxhash64(w)").collect()}
+    grams = {tuple(code[w] for w in ws[k : k + 5]) for ws in split.values() for k in range(len(ws) - 4)}
+    shingle = {tuple(r[0]): r[1] for r in spark.createDataFrame([(list(g),) for g in grams] or [([0] * 5,)], "g array<long>").selectExpr("g", "xxhash64(g[0], g[1], g[2], g[3], g[4]) & 9223372036854775807").collect()}
+    short = {tuple(code[w] for w in ws) for ws in split.values() if 0 < len(ws) < 5}
+    shingle |= {tuple(r[0]): r[1] for r in spark.createDataFrame([(list(g),) for g in short] or [([0],)], "g array<long>").selectExpr("g", "xxhash64(g) & 9223372036854775807").collect()}
+    out = {}
+    for t, ws in split.items():
+        codes = [code[w] for w in ws]
+        sets = [tuple(codes[k : k + 5]) for k in range(len(codes) - 4)] or ([tuple(codes)] if codes else [])
+        out[t] = sorted({shingle[x] for x in sets})[: fingerprints.K]
+    return out
+
+
+def _alike(a, b):
+    both = sorted({*a, *b})[: fingerprints.K]
+    return sum(x in a and x in b for x in both) / len(both) if both else 1.0
+
+
+def _check_fingerprints(table, rows):
+    """All columns, and the order of documents, against plain Python."""
+    spark = table.sparkSession
+    hashed = {r[0]: r[1] for r in spark.createDataFrame([(t or "",) for _, t in rows], "t string").selectExpr("t", "xxhash64(t)").collect()}
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, r[0] or 0, hashed[r[1]]))
+    follow = [t for _, t in order[1:] + order[:1]]
+    edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for (_, t), n in zip(order, follow, strict=True)]
+    known = _plain_sketches(spark, {t for _, t in order} | set(edited))
+    text = lambda s: "".join(f"{h:016x}" for h in s)
+    want = [
+        (i, len(t), hashlib.sha256(e.encode()).hexdigest(), text(known[t]), text(known[e]), round(_alike(known[t], known[e]), 9), round(_alike(known[t], known[n]), 9))
+        for (i, t), n, e in zip(order, follow, edited, strict=True)
+    ]
+    for ranges in (None, 1, 7, 40):
+        got = fingerprints.fingerprints(table, ranges).collect()
+        assert sorted((tuple([*r[:5], round(r.near_edited, 9), round(r.near_next, 9)]) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_sketches_merge_and_estimate(spark):
     from pyspark.sql import functions as F
 
