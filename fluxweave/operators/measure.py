@@ -116,8 +116,11 @@ def island_rows(pixels: DataFrame, beam_area: float, by: Sequence[str] = ()) ->
 
 
 def component_records(pixels: DataFrame, namespace: str, by: Sequence[str] = ()) -> DataFrame:
-    """Stable identity of each label from its pixels, with the positive-signal moments."""
-    ids = pixels.groupBy(*by, "label").agg(F.sha2(F.concat_ws(",", F.lit(namespace), F.array_sort(F.collect_list(F.col("y") * 100_000 + F.col("x"))).cast("array<string>")), 256).alias("record_id"))
+    """Stable identity of each label from its pixels, in any order: their number and two exclusive ors of 60 hash bits; with the positive-signal moments."""
+    digest = F.md5(F.concat_ws(",", F.col("y").cast("string"), F.col("x").cast("string")))
+    part = lambda at: F.bit_xor(F.conv(F.substring("_digest", at, 15), 16, 10).cast("long")).cast("string")
+    name = F.concat_ws(",", F.lit(namespace), F.count("*").cast("string"), part(1), part(16))
+    ids = pixels.withColumn("_digest", digest).groupBy(*by, "label").agg(F.sha2(name, 256).alias("record_id"))
     return ids.join(positive_moments(pixels, by), [*by, "label"], "left")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -222,19 +223,24 @@ def choose_local_noise(grid: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return both.withColumn("rms", F.when(F.col("coverage") < 0.5, F.col("_c")).otherwise(F.col("_f"))).drop("_c", "_f", "coverage")
 
 
-def _anchors(samples: list[float], length: int) -> tuple[int, int]:
-    """Samples that secants to the edges run through: at least as far inside as the edge is outside."""
-    s = np.array(samples)
-    lower = min(int(np.searchsorted(s, 2 * s[0], "left")), len(s) - 1)
-    upper = max(int(np.searchsorted(s, 2 * s[-1] - (length - 1), "right")) - 1, 0)
-    return lower, upper
+def secant_cells(samples: list[float], length: int) -> tuple[int, int]:
+    """Inner cells of the lines that go on from the first and from the last cell to the image's edges.
+
+    A line is at least as long inside the grid as beyond it, so the inner cell is as many
+    whole steps away as cover the distance to the edge, and within the grid.
+    """
+    last, step = len(samples) - 1, samples[1] - samples[0]
+    ahead = math.ceil(samples[0] / step)
+    reach = samples[last] - (length - 1 - samples[last])  # the inner cell lies here or before
+    behind = math.floor((reach - samples[0]) / step)
+    return min(ahead, last), min(max(behind, 0), last - 1)
 
 
 def extend_axis(grid: DataFrame, axis: str, samples: list[float], length: int, by: Sequence[str] = ()) -> tuple[DataFrame, list[float]]:
     """Add edge samples at 0 and length - 1 by secants; the RMS never falls below the edge cell."""
     if len(samples) == 1:
         return grid, samples
-    lower, upper = _anchors(samples, length)
+    lower, upper = secant_cells(samples, length)
     other = "cell_x" if axis == "cell_y" else "cell_y"
     out, locations, shift = grid, list(samples), 0
     for edge, anchor, place in ((0, lower, 0.0), (len(samples) - 1, upper, float(length - 1))):

@@ -46,6 +46,14 @@ def moving(pixels: DataFrame, column: str, out: str, how, ry: int, rx: int, by:
     return first.withColumn(out, how("_row").over(_frame("y", [*by, "x"], ry, ry))).drop("_row")
 
 
+def completed(pixels: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """pixels with rows of nulls for those that an image lacks within its extent; `_real` marks the given ones."""
+    box = pixels.groupBy(*by).agg(*[f(c).alias(f"_{c}{k}") for c in ("y", "x") for k, f in (("0", F.min), ("1", F.max))]).where("_y0 is not null")
+    rows = box.withColumn("y", F.explode(F.sequence("_y0", "_y1")))
+    full = rows.withColumn("x", F.explode(F.sequence("_x0", "_x1"))).select(*by, "y", "x")
+    return full.join(pixels.withColumn("_real", F.lit(1)), [*by, "y", "x"], "left")
+
+
 def moving_on_support(points: DataFrame, pixels: DataFrame, out: str, how, column: str, ry: int, rx: int, by: Sequence[str] = ()) -> DataFrame:
     """A moving aggregate of sparse points, read at all pixels (absent points are null)."""
     keys = [*by, "y", "x"]
@@ -66,22 +74,28 @@ def neighbour_pairs(pixels: DataFrame, carry: Sequence[str], offsets=HALF, by: S
     return joined
 
 
-def constant_square_centres(pixels: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Pixels equal to all their neighbours in the image; a null equals nothing."""
-    low = moving(pixels, "value", "_low", F.min, 1, 1, by)
+def _constant(plane: DataFrame, by: Sequence[str]) -> DataFrame:
+    """A dense plane with `_real`: marks real pixels equal to all real ones around them."""
+    low = moving(plane, "value", "_low", F.min, 1, 1, by)
     both = moving(low, "value", "_high", F.max, 1, 1, by)
     counted = moving(both.withColumn("_some", F.col("value").isNotNull().cast("int")), "_some", "_known", F.sum, 1, 1, by)
-    counted = moving(counted.withColumn("_one", F.lit(1)), "_one", "_all", F.sum, 1, 1, by)
-    flag = F.coalesce((F.col("_low") == F.col("_high")) & (F.col("_known") == F.col("_all")), F.lit(False))
-    return counted.withColumn("constant", flag).drop("_low", "_high", "_known", "_all", "_some", "_one")
+    counted = moving(counted, "_real", "_all", F.sum, 1, 1, by)
+    flag = F.coalesce((F.col("_low") == F.col("_high")) & (F.col("_known") == F.col("_all")) & F.col("_real").isNotNull(), F.lit(False))
+    return counted.withColumn("constant", flag).drop("_low", "_high", "_known", "_all", "_some")
+
+
+def constant_square_centres(pixels: DataFrame, by: Sequence[str] = (), dense: bool = False) -> DataFrame:
+    """Pixels equal to all their neighbours in the image; a null equals nothing. dense: no row is missing, none is added."""
+    plane = pixels.withColumn("_real", F.lit(1)) if dense else completed(pixels, by)
+    return _constant(plane, by).where("_real = 1").select(*pixels.columns, "constant")
 
 
-def valid_pixels(pixels: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Ingress validity: finite, and in no 3 x 3 square of one repeated value."""
-    marked = constant_square_centres(pixels, by).withColumn("_c", F.col("constant").cast("int"))
-    near = moving(marked, "_c", "_near", F.max, 1, 1, by)
+def valid_pixels(pixels: DataFrame, by: Sequence[str] = (), dense: bool = False) -> DataFrame:
+    """Ingress validity: finite, and in no 3 x 3 square of one repeated value. dense: no row is missing."""
+    plane = pixels.withColumn("_real", F.lit(1)) if dense else completed(pixels, by)
+    near = moving(_constant(plane, by).withColumn("_c", F.col("constant").cast("int")), "_c", "_near", F.max, 1, 1, by)
     finite = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))
-    return near.withColumn("valid", finite & (F.col("_near") == 0)).drop("_c", "_near", "constant")
+    return near.where("_real = 1").withColumn("valid", finite & (F.col("_near") == 0)).select(*pixels.columns, "valid")
 
 
 def neighbour_count(mask: DataFrame, by: Sequence[str] = ()) -> DataFrame:

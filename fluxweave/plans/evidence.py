@@ -15,10 +15,10 @@ from fluxweave.plans.registry import query
 from fluxweave.runtime import cut, new_path
 
 
-@query("J23", f"WITH {'b AS (SELECT p_partkey AS id, p_size % 3 + 1 AS scale, (p_partkey*7) % 400 AS y0, (p_partkey*7) % 400 + p_size AS y1, (p_partkey*13) % 300 AS x0, (p_partkey*13) % 300 + p_size AS x1 FROM part WHERE p_partkey <= 300)'} SELECT a.id AS a_id, c.id AS b_id FROM b a JOIN b c ON a.id < c.id AND a.y0 < c.y1 AND c.y0 < a.y1 AND a.x0 < c.x1 AND c.x0 < a.x1 WHERE a.scale = c.scale OR (a.scale >= 2 AND c.scale >= 2)")
+@query("J23", f"WITH {'b AS (SELECT p_partkey AS id, p_size % 3 + 1 AS scale, (p_partkey*7) % 400 AS y0, (p_partkey*7) % 400 + p_size AS y1, (p_partkey*13) % 300 AS x0, (p_partkey*13) % 300 + p_size AS x1 FROM part)'} SELECT a.id AS a_id, c.id AS b_id FROM b a JOIN b c ON a.id < c.id AND a.y0 < c.y1 AND c.y0 < a.y1 AND a.x0 < c.x1 AND c.x0 < a.x1 WHERE a.scale = c.scale OR (a.scale >= 2 AND c.scale >= 2)")
 def envelope_candidates(spark, sf_dir):
     k, s = F.col("p_partkey"), F.col("p_size")
-    b = I.table(spark, sf_dir, "part").where("p_partkey <= 300").select(k.alias("id"), (s % 3 + 1).alias("scale"), ((k * 7) % 400).alias("y0"), ((k * 7) % 400 + s).alias("y1"), ((k * 13) % 300).alias("x0"), ((k * 13) % 300 + s).alias("x1"))
+    b = I.table(spark, sf_dir, "part").select(k.alias("id"), (s % 3 + 1).alias("scale"), ((k * 7) % 400).alias("y0"), ((k * 7) % 400 + s).alias("y1"), ((k * 13) % 300).alias("x0"), ((k * 13) % 300 + s).alias("x1"))
     return groups.envelope_candidates(b, 3, 64)
 
 

@@ -75,11 +75,11 @@ def atrous_noise_gains(spark, sf_dir):
     return spark.createDataFrame([(k, float(g)) for k, g in enumerate(multiscale.atrous_gains(), 1)], "scale int, gain double")
 
 
-@query("A24 detection rule", """WITH q AS (SELECT l_suppkey % 97 AS label, l_quantity/10 AS snr, l_quantity/10 + l_tax*10 AS combined FROM lineitem WHERE l_orderkey % 50 = 1) SELECT label, count(*) AS n_pixels FROM q GROUP BY 1 HAVING max(combined) >= 5 AND (count(*) >= 15 OR max(snr) >= 5)""")
+@query("A24 detection rule", """WITH q AS (SELECT l_orderkey AS label, l_quantity/10 AS snr, l_quantity/10 + l_tax*10 AS combined FROM lineitem) SELECT label, count(*) AS n_pixels FROM q GROUP BY 1 HAVING max(combined) >= 5 AND (count(*) >= 6 OR max(snr) >= 5)""")
 def detection_rule(spark, sf_dir):
-    li = I.table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 1")
-    q = li.select((F.col("l_suppkey") % 97).alias("label"), (F.col("l_quantity") / 10).alias("snr"), (F.col("l_quantity") / 10 + F.col("l_tax") * 10).alias("combined"))
-    return multiscale.detection_rule(q, 15).select("label", "n_pixels")
+    li = I.table(spark, sf_dir, "lineitem")
+    q = li.select(F.col("l_orderkey").alias("label"), (F.col("l_quantity") / 10).alias("snr"), (F.col("l_quantity") / 10 + F.col("l_tax") * 10).alias("combined"))
+    return multiscale.detection_rule(q, 6).select("label", "n_pixels")
 
 
 @query("halo exchange", f"WITH {I.PLANE_LI} SELECT ty AS tile_y, tx AS tile_x, count(*) AS n FROM plane_li, range(8) a(ty), range(16) b(tx) WHERE y >= ty*8 - 2 AND y < ty*8 + 10 AND x >= tx*8 - 2 AND x < tx*8 + 10 GROUP BY 1, 2")
@@ -157,19 +157,20 @@ def header_fill(spark, sf_dir):
 
 # --- association --------------------------------------------------------------------------
 
-_TREE = """WITH RECURSIVE edges AS (SELECT p_partkey AS child, 10000 + p_partkey // 4 AS parent FROM part WHERE p_partkey < 400 UNION ALL SELECT 10000 + k, 20000 + k // 3 FROM range(0, 100) t(k) UNION ALL SELECT 10000 + k, 20000 + k // 3 + 1 FROM range(0, 100, 17) t(k)),
-feats AS (SELECT p_partkey AS feature FROM part WHERE p_partkey < 400 UNION SELECT 10000 + k FROM range(0, 100) t(k)), pc AS (SELECT child, count(*) AS n, min(parent) AS parent FROM edges GROUP BY 1),
+#: Features of three levels: four parts under one, three of those under one; some of the second level have two parents.
+_TREE = """WITH RECURSIVE mid AS (SELECT DISTINCT p_partkey // 4 AS k FROM part), edges AS (SELECT p_partkey AS child, 10000000 + p_partkey // 4 AS parent FROM part UNION ALL SELECT 10000000 + k, 20000000 + k // 3 FROM mid UNION ALL SELECT 10000000 + k, 20000001 + k // 3 FROM mid WHERE k % 17 = 0),
+feats AS (SELECT p_partkey AS feature FROM part UNION SELECT 10000000 + k FROM mid), pc AS (SELECT child, count(*) AS n, min(parent) AS parent FROM edges GROUP BY 1),
 up AS (SELECT feature, feature AS ancestor, 0 AS depth FROM feats UNION ALL SELECT up.feature, pc.parent, up.depth + 1 FROM up JOIN pc ON pc.child = up.ancestor AND pc.n = 1 WHERE up.depth < 2),
 lin AS (SELECT * FROM up WHERE feature NOT IN (SELECT u.feature FROM up u JOIN pc ON pc.child = u.ancestor AND pc.n > 1))"""
 
 
 def _tree(spark, sf_dir):
     k = F.col("p_partkey")
-    p = I.table(spark, sf_dir, "part").where("p_partkey < 400")
-    t = spark.range(0, 100)
-    edges = p.select(k.alias("child"), (10000 + F.floor(k / 4)).alias("parent")).unionByName(t.select((F.col("id") + 10000).alias("child"), (20000 + F.floor(F.col("id") / 3)).alias("parent")))
-    edges = edges.unionByName(spark.range(0, 100, 17).select((F.col("id") + 10000).alias("child"), (20001 + F.floor(F.col("id") / 3)).alias("parent")))
-    feats = p.select(k.alias("feature")).unionByName(t.select((F.col("id") + 10000).alias("feature")))
+    p = I.table(spark, sf_dir, "part")
+    mid, j = p.select(F.floor(k / 4).alias("j")).distinct(), F.col("j")
+    edges = p.select(k.alias("child"), (10_000_000 + F.floor(k / 4)).alias("parent")).unionByName(mid.select((j + 10_000_000).alias("child"), (20_000_000 + F.floor(j / 3)).alias("parent")))
+    edges = edges.unionByName(mid.where("j % 17 = 0").select((j + 10_000_000).alias("child"), (20_000_001 + F.floor(j / 3)).alias("parent")))
+    feats = p.select(k.alias("feature")).unionByName(mid.select((j + 10_000_000).alias("feature")))
     return association.lineages(feats, edges, 2)
 
 
@@ -178,11 +179,11 @@ def feature_lineage(spark, sf_dir):
     return _tree(spark, sf_dir).select("feature", "ancestor", F.col("depth").cast("long"))
 
 
-_OWNED = f"{_TREE}, att AS (SELECT p_partkey % 150 AS owner, p_partkey AS feature FROM part WHERE p_partkey < 300), sz AS (SELECT owner, count(DISTINCT feature) AS n FROM att GROUP BY 1), rc AS (SELECT owner, ancestor, count(DISTINCT feature) AS k, max(depth) AS far FROM att JOIN lin USING (feature) GROUP BY 1, 2), own AS (SELECT owner, arg_min(ancestor, (far, ancestor)) AS feature FROM rc JOIN sz USING (owner) WHERE k = n GROUP BY 1)"
+_OWNED = f"{_TREE}, att AS (SELECT p_partkey // 5 AS owner, p_partkey AS feature FROM part), sz AS (SELECT owner, count(DISTINCT feature) AS n FROM att GROUP BY 1), rc AS (SELECT owner, ancestor, count(DISTINCT feature) AS k, max(depth) AS far FROM att JOIN lin USING (feature) GROUP BY 1, 2), own AS (SELECT owner, arg_min(ancestor, (far, ancestor)) AS feature FROM rc JOIN sz USING (owner) WHERE k = n GROUP BY 1)"
 
 
 def _owned(spark, sf_dir, lineage):
-    att = I.table(spark, sf_dir, "part").where("p_partkey < 300").select((F.col("p_partkey") % 150).alias("owner"), F.col("p_partkey").alias("feature"))
+    att = I.table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 5).alias("owner"), F.col("p_partkey").alias("feature"))
     return association.owner_features(att, lineage)
 
 
@@ -191,17 +192,20 @@ def owner_feature(spark, sf_dir):
     return _owned(spark, sf_dir, _tree(spark, sf_dir))
 
 
-@query("R9 R15 R16", f"{_TREE}, own AS (SELECT p_partkey AS owner, p_partkey AS feature FROM part WHERE p_partkey < 250), ol AS (SELECT owner, ancestor, depth FROM own JOIN lin USING (feature)), sh AS (SELECT ancestor FROM ol GROUP BY 1 HAVING count(DISTINCT owner) >= 2) SELECT owner, arg_min(ancestor, (depth, ancestor)) AS \"group\" FROM ol WHERE ancestor IN (SELECT ancestor FROM sh) GROUP BY 1")
+@query("R9 R15 R16", f"{_TREE}, own AS (SELECT p_partkey AS owner, p_partkey AS feature FROM part), ol AS (SELECT owner, ancestor, depth FROM own JOIN lin USING (feature)), sh AS (SELECT ancestor FROM ol GROUP BY 1 HAVING count(DISTINCT owner) >= 2) SELECT owner, arg_min(ancestor, (depth, ancestor)) AS \"group\" FROM ol WHERE ancestor IN (SELECT ancestor FROM sh) GROUP BY 1")
 def hierarchy_groups(spark, sf_dir):
-    own = I.table(spark, sf_dir, "part").where("p_partkey < 250").select(F.col("p_partkey").alias("owner"), F.col("p_partkey").alias("feature"))
+    own = I.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("owner"), F.col("p_partkey").alias("feature"))
     return association.hierarchy_groups(own, _tree(spark, sf_dir))
 
 
 def _graph(spark, sf_dir):
-    return I.table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select((F.col("o_orderkey") % 701).alias("a"), (F.col("o_custkey") % 701).alias("b"))
+    """Every order is an edge to a near feature, or none: pairs, trees and cycles at any size."""
+    a = F.floor(F.col("o_orderkey") / 3)
+    b = a + F.when(F.col("o_custkey") % 3 == 0, F.col("o_custkey") % 5 + 1).otherwise(0)
+    return I.table(spark, sf_dir, "orders").select(a.alias("a"), b.alias("b"))
 
 
-_EDGES = "e AS (SELECT DISTINCT least(o_orderkey % 701, o_custkey % 701) AS a, greatest(o_orderkey % 701, o_custkey % 701) AS b FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey % 701 <> o_custkey % 701)"
+_EDGES = "e AS (SELECT DISTINCT o_orderkey // 3 AS a, o_orderkey // 3 + o_custkey % 5 + 1 AS b FROM orders WHERE o_custkey % 3 = 0)"
 
 
 @query("R7 2-core and components")
@@ -216,7 +220,7 @@ def isolated_pairs(spark, sf_dir):
 
 @query("R11 terminal cycles and siblings")
 def cycle_groups(spark, sf_dir):
-    owned = I.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("owner"), (F.col("c_custkey") % 701).alias("feature"))
+    owned = I.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("owner"), F.col("c_custkey").alias("feature"))
     return association.cycle_groups(owned, _graph(spark, sf_dir))
 
 
@@ -232,12 +236,12 @@ def influence_recovery(spark, sf_dir):
     return association.influence_recovery(inf, grouped)
 
 
-@query("R12", "WITH c AS (SELECT c_nationkey AS grp, c_custkey % 400 AS feature FROM customer WHERE c_custkey < 500), p AS (SELECT s AS feature FROM range(0, 400) t(s) WHERE s % 13 > 0), x AS (SELECT feature FROM (SELECT DISTINCT grp, feature FROM c) GROUP BY 1 HAVING count(*) = 1), m AS (SELECT grp, feature FROM c WHERE feature NOT IN (SELECT feature FROM p)), g AS (SELECT grp FROM m GROUP BY 1 HAVING count(*) = 1 AND min(feature) IN (SELECT feature FROM x) UNION SELECT grp FROM c WHERE grp NOT IN (SELECT grp FROM m)) SELECT DISTINCT feature + 1000 AS owner, grp AS \"group\" FROM c WHERE grp IN (SELECT grp FROM g)")
+@query("R12", "WITH c AS (SELECT c_custkey // 6 AS grp, c_custkey AS feature FROM customer UNION ALL SELECT 500000 + (c_custkey + 3) // 11, c_custkey FROM customer WHERE c_custkey % 5 = 0), p AS (SELECT c_custkey AS feature FROM customer WHERE c_custkey % 13 > 0), x AS (SELECT feature FROM (SELECT DISTINCT grp, feature FROM c) GROUP BY 1 HAVING count(*) = 1), m AS (SELECT grp, feature FROM c WHERE feature NOT IN (SELECT feature FROM p)), g AS (SELECT grp FROM m GROUP BY 1 HAVING count(*) = 1 AND min(feature) IN (SELECT feature FROM x) UNION SELECT grp FROM c WHERE grp NOT IN (SELECT grp FROM m)) SELECT DISTINCT feature + 1000000 AS owner, grp AS \"group\" FROM c WHERE grp IN (SELECT grp FROM g)")
 def missing_child_groups(spark, sf_dir):
-    c = I.table(spark, sf_dir, "customer").where("c_custkey < 500").select(F.col("c_nationkey").alias("group"), (F.col("c_custkey") % 400).alias("feature"))
-    persistent = spark.range(0, 400).where("id % 13 > 0").select(F.col("id").alias("feature"))
-    owned = spark.range(0, 400).select((F.col("id") + 1000).alias("owner"), F.col("id").alias("feature"))
-    return association.missing_child_groups(owned, c, persistent)
+    k = F.col("c_custkey")
+    c = I.table(spark, sf_dir, "customer")
+    both = c.select(F.floor(k / 6).alias("group"), k.alias("feature")).unionByName(c.where("c_custkey % 5 = 0").select((500_000 + F.floor((k + 3) / 11)).alias("group"), k.alias("feature")))
+    return association.missing_child_groups(c.select((k + 1_000_000).alias("owner"), k.alias("feature")), both, c.where("c_custkey % 13 > 0").select(k.alias("feature")))
 
 
 @query("R13", "SELECT o_custkey AS support, list_sort(list_distinct(list(o_orderkey))) AS owners FROM orders WHERE o_orderkey % 9 > 0 GROUP BY 1 HAVING count(DISTINCT o_orderkey) >= 2")
@@ -259,9 +263,9 @@ def source_memberships(spark, sf_dir):
     return association.constrain_memberships(c.select(k.alias("component")), groups, groups).select("component", "source")
 
 
-@query("G18", "WITH RECURSIVE b AS (SELECT c_custkey AS c, 'p' || c_custkey // 3 AS g FROM customer WHERE c_custkey < 300 UNION ALL SELECT c_custkey, 'f' || c_custkey % 120 FROM customer WHERE c_custkey < 300 AND c_custkey % 5 = 0), e AS (SELECT DISTINCT x.c AS a, y.c AS b FROM b x JOIN b y USING (g)), r AS (SELECT a, a AS r FROM e UNION SELECT e.b, r.r FROM r JOIN e ON e.a = r.a) SELECT a AS component, min(r) AS \"group\" FROM r GROUP BY 1")
+@query("G18", "WITH RECURSIVE b AS (SELECT c_custkey AS c, 'p' || c_custkey // 3 AS g FROM customer UNION ALL SELECT c_custkey, 'f' || c_custkey % 120 FROM customer WHERE c_custkey % 5 = 0), e AS (SELECT DISTINCT x.c AS a, y.c AS b FROM b x JOIN b y USING (g)), r AS (SELECT a, a AS r FROM e UNION SELECT e.b, r.r FROM r JOIN e ON e.a = r.a) SELECT a AS component, min(r) AS \"group\" FROM r GROUP BY 1")
 def reconciled_groups(spark, sf_dir):
-    c, k = I.table(spark, sf_dir, "customer").where("c_custkey < 300"), F.col("c_custkey")
+    c, k = I.table(spark, sf_dir, "customer"), F.col("c_custkey")
     return association.reconcile_groups(c.select(k.alias("component"), F.floor(k / 3).alias("group")), c.where("c_custkey % 5 = 0").select(k.alias("component"), (k % 120).alias("group")))
 
 

@@ -183,10 +183,10 @@ def fit_parents(spark, sf_dir):
     return support.fit_parents(cut(basin_plane(spark, sf_dir), "basin"), 3)
 
 
-@query("J18 transitive merge of groups", """WITH RECURSIVE g AS (SELECT o_custkey % 40 AS grp, o_orderkey % 90 AS label FROM orders WHERE o_orderkey % 7 = 0), e AS (SELECT DISTINCT a.label AS a, b.label AS b FROM g a JOIN g b USING (grp)), r AS (SELECT a, a AS r FROM e UNION SELECT e.b, r.r FROM r JOIN e ON e.a = r.a) SELECT a AS label, min(r) AS merged FROM r GROUP BY 1""")
+@query("J18 transitive merge of groups", """WITH RECURSIVE g AS (SELECT DISTINCT o_custkey % 400 AS grp, o_orderkey % 900 * 7 AS label FROM orders), e AS (SELECT DISTINCT a.label AS a, b.label AS b FROM g a JOIN g b USING (grp)), r AS (SELECT a, a AS r FROM e UNION SELECT e.b, r.r FROM r JOIN e ON e.a = r.a) SELECT a AS label, min(r) AS merged FROM r GROUP BY 1""")
 def merged_groups(spark, sf_dir):
-    o = I.table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0")
-    return support.merge_label_groups(o.select((F.col("o_custkey") % 40).alias("group"), (F.col("o_orderkey") % 90).alias("label")).distinct())
+    o = I.table(spark, sf_dir, "orders")
+    return support.merge_label_groups(o.select((F.col("o_custkey") % 400).alias("group"), (F.col("o_orderkey") % 900 * 7).alias("label")).distinct())
 
 
 @query("T11 running offset", "SELECT p_size AS parent, n AS n_components, CAST(coalesce(sum(n) OVER (ORDER BY p_size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM (SELECT p_size, count(*) AS n FROM part GROUP BY 1)")
@@ -210,12 +210,12 @@ def measured(spark, sf_dir):
     f"""{_MEAS}, a AS (SELECT label, sum(residual) AS s, sum(residual*x)/sum(residual) AS cx, sum(residual*y)/sum(residual) AS cy, count(*) AS n, max(residual) AS peak, avg(rms) AS lr FROM px GROUP BY 1),
     b AS (SELECT px.label, sum(residual*(x-cx)*(x-cx))/any_value(s) AS xx, sum(residual*(x-cx)*(y-cy))/any_value(s) AS xy, sum(residual*(y-cy)*(y-cy))/any_value(s) AS yy FROM px JOIN a USING (label) GROUP BY 1),
     c AS (SELECT *, sqrt((xx-yy)*(xx-yy)+4*xy*xy) AS d FROM a JOIN b USING (label)), fin AS (SELECT *, n >= 3 AND (xx+yy-d)/2 > 1e-12*(xx+yy+d)/2 AND xx+yy+d > 0 AS ok FROM c)
-    SELECT label, n AS n_pixels, round(s/{BEAM_AREA}, 5) AS flux, round(peak, 5) AS peak, round(lr, 5) AS local_rms, CASE WHEN n < 3 THEN 'underdetermined-region' WHEN NOT ok THEN 'singular-covariance' END AS reason,
+    SELECT label, n AS n_pixels, round(s/{BEAM_AREA}, 5) AS flux, peak, round(lr, 5) AS local_rms, CASE WHEN n < 3 THEN 'underdetermined-region' WHEN NOT ok THEN 'singular-covariance' END AS reason,
     CASE WHEN ok THEN round(cx, 5) END AS centroid_x, CASE WHEN ok THEN round(cy, 5) END AS centroid_y, CASE WHEN ok THEN round(sqrt((xx+yy+d)/2), 5) END AS sigma_1, CASE WHEN ok THEN round(sqrt((xx+yy-d)/2), 5) END AS sigma_2 FROM fin""",
 )
 def moments(spark, sf_dir):
     m = measure.moments(cut(measured(spark, sf_dir), "measured"), 1.0, BEAM_AREA)
-    return m.select("label", "n_pixels", r("flux", 5), r("peak", 5), r("local_rms", 5), "reason", r("centroid_x", 5), r("centroid_y", 5), r("sigma_1", 5), r("sigma_2", 5))
+    return m.select("label", "n_pixels", r("flux", 5), "peak", r("local_rms", 5), "reason", r("centroid_x", 5), r("centroid_y", 5), r("sigma_1", 5), r("sigma_2", 5))
 
 
 @query("A19 A16 positive moments", f"{_MEAS} SELECT label, round(sum(greatest(residual-0.4,0)*x)/sum(greatest(residual-0.4,0)), 5) AS centroid_x, round(sum(greatest(residual-0.4,0)*y)/sum(greatest(residual-0.4,0)), 5) AS centroid_y FROM px GROUP BY 1 HAVING sum(greatest(residual-0.4,0)) > 0")
@@ -237,13 +237,13 @@ def segment_position(spark, sf_dir):
 @query(
     "A18 T18 segment rows",
     f"""{_MEAS}, a AS (SELECT label, sum(residual) AS s, sum(residual*x)/sum(residual) AS cx, sum(residual*y)/sum(residual) AS cy, max(residual) AS peak FROM px GROUP BY 1), p AS (SELECT label, sum(residual) - 3 AS ap FROM px GROUP BY 1)
-    SELECT label, round(cx, 5) AS centroid_x, round(cy, 5) AS centroid_y, round(peak, 5) AS peak, round(CASE WHEN ap > 0 THEN ap ELSE s END/{BEAM_AREA}, 5) AS flux, ap > 0 AS signed FROM a JOIN p USING (label)""",
+    SELECT label, round(cx, 5) AS centroid_x, round(cy, 5) AS centroid_y, peak, round(CASE WHEN ap > 0 THEN ap ELSE s END/{BEAM_AREA}, 5) AS flux, ap > 0 AS signed FROM a JOIN p USING (label)""",
 )
 def segment_rows(spark, sf_dir):
     own = cut(measured(spark, sf_dir), "owned")
     extra = own.groupBy("label").agg(F.min("y").alias("y"), F.min("x").alias("x"), F.lit(-3.0).alias("residual"))
     rows = measure.segment_rows(own, own.select("y", "x", "label", "residual").unionByName(extra.select("y", "x", "label", "residual")), BEAM_AREA)
-    return rows.select("label", r("centroid_x", 5), r("centroid_y", 5), r("peak", 5), r("flux", 5), F.array_contains("flags", "source-owned-signed-aperture").alias("signed"))
+    return rows.select("label", r("centroid_x", 5), r("centroid_y", 5), "peak", r("flux", 5), F.array_contains("flags", "source-owned-signed-aperture").alias("signed"))
 
 
 @query("A20 segment local RMS", f"{_MEAS} SELECT label, round(median(rms), 6) AS local_rms FROM px GROUP BY 1")
@@ -256,34 +256,37 @@ def island_rows(spark, sf_dir):
     return measure.island_rows(measured(spark, sf_dir), BEAM_AREA).select("label", "n_pixels", r("flux", 5), r("local_rms"), r("mean_brightness", 5), "island_id")
 
 
-@query("A16 component records", f"{_MEAS} SELECT label, sha256('demo,' || string_agg(CAST(y*100000+x AS VARCHAR), ',' ORDER BY y*100000+x)) AS record_id FROM px GROUP BY 1")
+@query("A16 component records", f"{_MEAS}, d AS (SELECT label, md5(y || ',' || x) AS m FROM px) SELECT label, sha256('demo,' || count(*) || ',' || bit_xor(CAST('0x' || m[1:15] AS BIGINT)) || ',' || bit_xor(CAST('0x' || m[16:30] AS BIGINT))) AS record_id FROM d GROUP BY 1")
 def component_records(spark, sf_dir):
     return measure.component_records(measured(spark, sf_dir), "demo").select("label", "record_id")
 
 
-_COMPONENTS = "SELECT l_suppkey AS source_id, l_orderkey*10+l_linenumber AS component_id, l_extendedprice/1000 AS flux, CASE WHEN l_linenumber < 6 THEN l_tax + 0.01 END AS flux_error, l_quantity AS major, l_quantity/2 AS minor, l_discount*100 AS angle FROM lineitem WHERE l_suppkey % 2 = 0 AND l_orderkey % (l_suppkey % 11 * 200 + 1) = 0"
+#: Every customer is a component; some sources have many, some one, some none.
+_COMPONENTS = "SELECT CASE WHEN c_custkey % 3 = 0 THEN c_custkey ELSE c_custkey % 40 + 1 END AS source_id, c_custkey AS component_id, c_acctbal/1000 AS flux, CASE WHEN c_custkey % 53 > 0 THEN c_custkey % 8 * 0.01e0 + 0.01e0 END AS flux_error, c_nationkey*2e0 + 1 AS major, c_nationkey + 0.5e0 AS minor, c_custkey % 180 * 1e0 AS angle FROM customer"
 
 
 def _components(spark, sf_dir):
-    li = I.table(spark, sf_dir, "lineitem").where("l_suppkey % 2 = 0 and l_orderkey % (l_suppkey % 11 * 200 + 1) = 0")
-    return li.select(F.col("l_suppkey").alias("source_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("component_id"), (F.col("l_extendedprice") / 1000).alias("flux"), F.when(F.col("l_linenumber") < 6, F.col("l_tax") + 0.01).alias("flux_error"), F.col("l_quantity").alias("major"), (F.col("l_quantity") / 2).alias("minor"), (F.col("l_discount") * 100).alias("angle"))
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    source = F.when(k % 3 == 0, k).otherwise(k % 40 + 1)
+    error = F.when(k % 53 > 0, k % 8 * 0.01 + 0.01)
+    return I.table(spark, sf_dir, "customer").select(source.alias("source_id"), k.alias("component_id"), (F.col("c_acctbal") / 1000).alias("flux"), error.alias("flux_error"), (n * 2.0 + 1).alias("major"), (n + 0.5).alias("minor"), (k % 180 * 1.0).alias("angle"))
 
 
-@query("A23 quadrature error", f"WITH c AS ({_COMPONENTS}) SELECT source_id, round(sum(flux), 4) AS flux, CASE WHEN count(flux_error) = count(*) THEN round(sqrt(sum(flux_error*flux_error)), 6) END AS flux_error, count(*) AS n_components FROM c GROUP BY 1")
+@query("A23 quadrature error", f"WITH c AS ({_COMPONENTS}) SELECT source_id, round(sum(flux), 6) AS flux, CASE WHEN count(flux_error) = count(*) THEN round(sqrt(sum(flux_error*flux_error)), 6) END AS flux_error, count(*) AS n_components FROM c GROUP BY 1")
 def quadrature_error(spark, sf_dir):
-    return measure.summed_flux(_components(spark, sf_dir), "source_id").select("source_id", r("flux", 4), r("flux_error"), "n_components")
+    return measure.summed_flux(_components(spark, sf_dir), "source_id").select("source_id", r("flux"), r("flux_error"), "n_components")
 
 
 @query(
     "T20 T21 P18 source rows",
     f"""WITH c AS ({_COMPONENTS}), g AS (SELECT source_id, sum(flux) AS f, count(*) AS n, any_value(major) AS mj FROM c GROUP BY 1)
-    SELECT s_suppkey AS source_id, round(coalesce(f, s_acctbal), 4) AS flux, coalesce(n, 0) AS n_components, CASE WHEN n = 1 THEN mj END AS major, f IS NULL AS aperture_only, n IS NOT NULL OR s_acctbal > 0 AS published FROM supplier LEFT JOIN g ON s_suppkey = source_id""",
+    SELECT s_suppkey AS source_id, round(coalesce(f, s_acctbal), 6) AS flux, coalesce(n, 0) AS n_components, CASE WHEN n = 1 THEN mj END AS major, f IS NULL AS aperture_only, n IS NOT NULL OR s_acctbal > 0 AS published FROM supplier LEFT JOIN g ON s_suppkey = source_id""",
 )
 def source_rows(spark, sf_dir):
     s = I.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source_id"), F.col("s_acctbal").alias("flux"))
     rows = measure.source_rows(s, cut(_components(spark, sf_dir), "components"))
     rows = rows.join(s.withColumnRenamed("flux", "ap"), "source_id")
-    return rows.select("source_id", r("flux", 4), "n_components", "major", F.array_contains("flags", "aperture-flux-without-fitted-component").alias("aperture_only"), measure.publishable(F.col("n_components") > 0, F.col("ap")).alias("published"))
+    return rows.select("source_id", r("flux"), "n_components", "major", F.array_contains("flags", "aperture-flux-without-fitted-component").alias("aperture_only"), measure.publishable(F.col("n_components") > 0, F.col("ap")).alias("published"))
 
 
 @query(
@@ -514,10 +517,10 @@ def mask_decisions(spark, sf_dir):
     return compare.compare_decisions(c, plane.where("snr >= 3"), plane.where("snr >= 1"))
 
 
-@query("A39 interval overlap", "WITH st AS (SELECT n_nationkey AS stage, n_nationkey*1000.0 AS t0, n_nationkey*1000.0 + 700 AS t1 FROM nation), tk AS (SELECT event_id*3.7 AS t0, event_id*3.7 + event_id % 90 AS t1 FROM events WHERE event_id < 6000) SELECT stage, round(coalesce(sum(least(st.t1, tk.t1) - greatest(st.t0, tk.t0)) FILTER (tk.t0 IS NOT NULL), 0), 3) AS busy FROM st LEFT JOIN tk ON tk.t0 < st.t1 AND st.t0 < tk.t1 GROUP BY 1")
+@query("A39 interval overlap", "WITH st AS (SELECT n_nationkey AS stage, n_nationkey*1000.0 AS t0, n_nationkey*1000.0 + 700 AS t1 FROM nation), tk AS (SELECT event_id*3.7 AS t0, event_id*3.7 + event_id % 90 AS t1 FROM events) SELECT stage, round(coalesce(sum(least(st.t1, tk.t1) - greatest(st.t0, tk.t0)) FILTER (tk.t0 IS NOT NULL), 0), 3) AS busy FROM st LEFT JOIN tk ON tk.t0 < st.t1 AND st.t0 < tk.t1 GROUP BY 1")
 def stage_occupancy(spark, sf_dir):
     st = I.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("stage"), (F.col("n_nationkey") * 1000.0).alias("t0"), (F.col("n_nationkey") * 1000.0 + 700).alias("t1"))
-    e = I.table(spark, sf_dir, "events").where("event_id < 6000")
+    e = I.table(spark, sf_dir, "events")
     tk = e.select((F.col("event_id") * 3.7).alias("t0"), (F.col("event_id") * 3.7 + F.col("event_id") % 90).alias("t1"))
     return compare.occupancy(st, tk, 4).select("stage", r("busy", 3))
 
