@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluxweave.runtime import cut
+from fluxweave.runtime import cut, forget
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -44,9 +44,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     state = pairs.where("u <> v")
     # The edge set repeats exactly when all edges are stars around their component's least node.
     mark = F.struct(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 999_983))
-    before = None
+    before = last = None
     while True:
         state = cut(_small_star(_large_star(state)).where("u <> v").distinct(), "star")
+        if last is not None:
+            forget(last)
+        last = state
         now = state.agg(mark.alias("m")).first()["m"]
         if now == before or now[0] == 0:
             break

@@ -11,7 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fluxweave.functions.scalars import deferred_parent
 from fluxweave.operators import fit, kernels
+from fluxweave.operators.labels import extents
 
 LEAST_MEMBERS = 3
 
@@ -117,10 +119,9 @@ def residual_features(value: np.ndarray, rms: np.ndarray, valid: np.ndarray, fit
         model[y, x] += fit.gaussian(p, x + float(origin[1]), y + float(origin[0]))[0]
     left = np.where(valid, (value - model) / np.where(rms > 0, rms, np.inf), -np.inf)
     labels = kernels.label_plane(left >= edge)
-    for k in range(1, labels.max() + 1):
-        mine = labels == k
-        if mine.sum() < least or left[mine].max() < seed:
-            labels[mine] = 0
+    peak = np.full(labels.max() + 1, -np.inf)
+    np.maximum.at(peak, labels.ravel(), left.ravel())
+    labels[((np.bincount(labels.ravel()) < least) | (peak < seed))[labels]] = 0
     return labels
 
 
@@ -155,7 +156,14 @@ def _planes(pdf: pd.DataFrame):
 
 
 def group_components(pixels: DataFrame, fits: DataFrame, beam: tuple[float, float, float], detection_sigma: float = 5.0, island_sigma: float = 3.0, least: int = 7) -> DataFrame:
-    """(feature, id, group, evidence): measured groups of each feature, from loops, arcs and shared residuals."""
+    """(feature, id, group, evidence): measured groups of each feature, from loops, arcs and shared residuals.
+
+    A feature over the admission bounds of an object is no group here, and has no evidence.
+    """
+    area = (F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0"))
+    sized = extents(pixels.select(F.col("feature").alias("label"), "y", "x"))
+    bounded = sized.where(~deferred_parent(F.col("n_pixels"), area)).select(F.col("label").alias("feature"))
+    pixels, fits = (t.join(bounded, "feature", "left_semi") for t in (pixels, fits))
 
     def run(px: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []

@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from fluxweave.operators import kernels
 from fluxweave.operators.graph import connected_components
+from fluxweave.operators.labels import pixel_id
 from fluxweave.operators.pixels import moving
+from fluxweave.operators.support import nearest_in_tile, nearest_seed
 from fluxweave.operators.tiling import overlap_or_touch
+from fluxweave.runtime import cut
 
 CELLS = 4  # cells on a side of a block that one task clips
 
@@ -127,53 +130,35 @@ def complete_grid(grid: DataFrame, cells: DataFrame) -> DataFrame:
     return full.fillna(False, ["available"]).fillna(0, ["n_valid", "n_retained"])
 
 
-def nearest_available(grid: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def nearest_available(grid: DataFrame, by: Sequence[str] = (), reach: int = 32) -> DataFrame:
     """Each cell's nearest available cell by distance in cells (ties: smaller y, then x): near_y, near_x, d2.
 
-    The cells of one image are a small plane (a cell every step), solved in one group by
-    two exact one-dimensional passes, without pairs.
+    Cells without one within reach look again four times as far, until none is left or the
+    whole grid is within reach; each look is a nearest-seed join in tiles.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, w = int(pdf["cell_y"].max()) + 1, int(pdf["cell_x"].max()) + 1
-        ok = np.zeros((h, w), bool)
-        ok[pdf["cell_y"], pdf["cell_x"]] = pdf["available"]
-        out = pdf[[*by, "cell_y", "cell_x"]].copy()
-        if not ok.any():
-            out["near_y"], out["near_x"], out["d2"] = None, None, None
-            return out
-        ny, nx, d2 = nearest_true(ok)
-        at = pdf["cell_y"].to_numpy(), pdf["cell_x"].to_numpy()
-        out["near_y"], out["near_x"], out["d2"] = ny[at], nx[at], d2[at]
-        return out
-
-    keys = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in grid.schema.fields if f.name in by)
-    return grid.select(*by, "cell_y", "cell_x", "available").groupBy(*by).applyInPandas(run, keys + "cell_y long, cell_x long, near_y long, near_x long, d2 long")
+    keys = [*by, "cell_y", "cell_x"]
+    plane = grid.select(*by, F.col("cell_y").alias("y"), F.col("cell_x").alias("x"), "available")
+    own = pixel_id(F.col("y"), F.col("x"))
+    seeds = plane.where("available").select(*by, "y", "x", own.alias("label"))
+    extent = plane.agg(F.max("y"), F.max("x")).first()
+    left, done = plane.where("not available").select(*by, "y", "x"), seeds.withColumn("d2", F.lit(0).cast("long"))
+    while not left.isEmpty():
+        found = cut(nearest_seed(seeds, left, reach, by), "near")
+        done = done.unionByName(found.select(done.columns))
+        left = left.join(found, [*by, "y", "x"], "left_anti")
+        if reach > 2 * max(extent):
+            break
+        reach *= 4
+    none = left.select(*by, F.col("y").alias("cell_y"), F.col("x").alias("cell_x"), *[F.lit(None).cast("long").alias(c) for c in ("near_y", "near_x", "d2")])
+    near = done.select(*by, F.col("y").alias("cell_y"), F.col("x").alias("cell_x"), F.shiftright("label", 32).alias("near_y"), F.col("label").bitwiseAND(F.lit(2**32 - 1)).alias("near_x"), "d2")
+    return near.unionByName(none.select(near.columns)).select(*keys, "near_y", "near_x", "d2")
 
 
 def nearest_true(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each pixel the nearest true one: y, x and squared distance; ties to the smaller y, then x."""
-    h, w = mask.shape
-    far = np.int64(1) << 40
-    cols = np.arange(w)
-    at = np.where(mask, cols, -1)
-    before = np.maximum.accumulate(at, axis=1)
-    after = np.minimum.accumulate(np.where(mask, cols, 4 * w)[:, ::-1], axis=1)[:, ::-1]
-    d_before = np.where(before >= 0, cols - before, far)
-    d_after = np.where(after < 4 * w, after - cols, far)
-    row_x = np.where(d_before <= d_after, before, after)
-    row_d = np.minimum(d_before, d_after)
-    row_d2 = np.where(row_d < far, row_d * row_d, far)
-    best = np.full((h, w), far)
-    best_y, best_x = np.zeros((h, w), np.int64), np.zeros((h, w), np.int64)
-    rows = np.arange(h)
-    for k in range(h):
-        d2 = row_d2[k][None, :] + ((rows - k) ** 2)[:, None]
-        better = d2 < best
-        best[better] = d2[better]
-        best_y[better] = k
-        best_x[better] = np.broadcast_to(row_x[k][None, :], (h, w))[better]
-    return best_y, best_x, best
+    """For each pixel of a plane the nearest true one: y, x and squared distance; ties to the smaller y, then x."""
+    at, (y, x) = np.nonzero(mask), np.indices(mask.shape)
+    label, d2 = nearest_in_tile(*at, (at[0] << 32) + at[1], y.ravel(), x.ravel(), max(mask.shape))
+    return (label >> 32).reshape(mask.shape), (label & (2**32 - 1)).reshape(mask.shape), d2.reshape(mask.shape)
 
 
 def fill_grid(grid: DataFrame, by: Sequence[str] = ()) -> DataFrame:

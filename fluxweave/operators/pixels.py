@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluxweave.runtime import cut
+
 AROUND = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) != (0, 0)]
 HALF = [(0, 1), (1, -1), (1, 0), (1, 1)]  # each unordered pair of 8-neighbours once
 
@@ -153,9 +155,10 @@ def ascent(pixels: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def basins(pointers: DataFrame, rounds: int, by: Sequence[str] = ()) -> DataFrame:
-    """Follow the pointers to their peaks by pointer doubling: 2 ** rounds steps."""
+    """Follow the pointers to their peaks by pointer doubling: 2 ** rounds steps; each round is cut, as it reads the one before twice."""
     keys = [*by, "y", "x"]
     for _ in range(rounds):
+        pointers = cut(pointers, "pointers")
         ahead = pointers.select(*by, F.col("y").alias("up_y"), F.col("x").alias("up_x"), F.col("up_y").alias("_y"), F.col("up_x").alias("_x"))
         pointers = pointers.join(ahead, [*by, "up_y", "up_x"]).select(*keys, F.col("_y").alias("up_y"), F.col("_x").alias("up_x"))
     return pointers

@@ -1,19 +1,24 @@
 """Scale features, ownership of support, refinement and set rules on sparse label planes.
 
-A plane of labels is points(y, x, label). Nearest-seed joins explode the seeds over the disc
-within reach (bounded by the radius, not by the image) and keep the best for each pixel.
+A plane of labels is points(y, x, label). Nearest-seed joins and label distances are taken in
+halo tiles, by passes along rows and then over rows (bounded by tile and radius, not by the image).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluxweave.operators import labels as lab
 from fluxweave.operators.graph import connected_components
-from fluxweave.operators.pixels import AROUND, dilate, disc, neighbour_count, opening
+from fluxweave.operators.kernels import moving_max
+from fluxweave.operators.pixels import AROUND, dilate, neighbour_count, opening
+from fluxweave.operators.tiling import with_halo
 from fluxweave.runtime import cut
 
 
@@ -65,20 +70,65 @@ def representatives(features: DataFrame) -> DataFrame:
     return features.groupBy("group").agg(best.alias("b")).select("group", "b.scale", "b.label", "b.peak")
 
 
-def nearest_seed(seeds: DataFrame, support: DataFrame, radius: float, by: Sequence[str] = (), within: str | None = None) -> DataFrame:
+def nearest_in_tile(seed_y: np.ndarray, seed_x: np.ndarray, label: np.ndarray, y: np.ndarray, x: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each pixel the label of the nearest seed within a bound on rows and columns, and its squared distance; ties to the smaller label.
+
+    Along each row the nearest seed on either side, then over the rows within reach: exact,
+    as among seeds of one row the nearer one is nearer from everywhere.
+    """
+    y0, x0 = min(seed_y.min(), y.min()) - reach, min(seed_x.min(), x.min())
+    h, w = int(max(seed_y.max(), y.max()) - y0) + reach + 1, int(max(seed_x.max(), x.max()) - x0) + 1
+    names, rank = np.unique(label, return_inverse=True)
+    far, bits = np.int64(1) << 62, np.int64(32)
+    plane = np.full((h, w), len(names), np.int64)
+    np.minimum.at(plane, (seed_y - y0, seed_x - x0), rank)
+    cols = np.arange(w)
+    there = plane < len(names)
+    left = np.maximum.accumulate(np.where(there, cols, -1), axis=1)
+    right = np.minimum.accumulate(np.where(there, cols, w)[:, ::-1], axis=1)[:, ::-1]
+    rows = np.arange(h)[:, None]
+
+    def key(at: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Squared distance along the row, then rank."""
+        d = cols - at
+        return np.where(known, (d * d << bits) + plane[rows, np.clip(at, 0, w - 1)], far)
+
+    best_row = np.minimum(key(left, left >= 0), key(right, right < w))
+    at = y - y0, x - x0
+    best = np.full(len(y), far)
+    for dy in range(-reach, reach + 1):
+        np.minimum(best, best_row[at[0] + dy, at[1]] + (np.int64(dy * dy) << bits), out=best)
+    d2 = best >> bits
+    return names[np.minimum(best & ((1 << bits) - 1), len(names) - 1)], d2
+
+
+def nearest_seed(seeds: DataFrame, support: DataFrame, radius: float, by: Sequence[str] = (), core: int = 256) -> DataFrame:
     """Support pixels with the label of the nearest seed pixel within a radius: label, d2.
 
     Ties go to the seed label whose first pixel comes first (its label, for first-pixel
-    labels). `within` names a component column that seed and support must share.
+    labels). Seeds go to the tiles whose halo holds them, so a seed is copied to four tiles
+    at most as long as the radius is under a tile's size, whatever the disc's area.
     """
-    keys = [*by, "y", "x", *([within] if within else [])]
-    reach = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(d2).alias("d2")) for dy, dx, d2 in disc(radius)]))
-    offers = seeds.select(*by, *([within] if within else []), "y", "x", "label", reach.alias("d")).select(
-        *by, *([within] if within else []), "label", (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"), F.col("d.d2").alias("d2")
-    )
-    # The best offer of a pixel is an aggregate with partial merge, so offers shrink before the shuffle.
-    best = offers.groupBy(*keys).agg(F.min(F.struct("d2", "label")).alias("b")).select(*keys, F.col("b.label").alias("label"), F.col("b.d2").alias("d2"))
-    return support.drop("label").join(best, keys)
+    keys = [*by, "y", "x"]
+    core = max(core, int(radius) + 1)
+    place = [*by, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x")]
+    given = with_halo(seeds.select(*place, F.col("label").cast("long").alias("label")), core, int(radius))
+    asked = support.select(*place, F.lit(None).cast("long").alias("label")).withColumn("tile_y", F.floor(F.col("y") / core)).withColumn("tile_x", F.floor(F.col("x") / core))
+
+    def run(table: pa.Table) -> pa.Table:
+        is_seed = pc.is_valid(table.column("label"))
+        known, wanted = table.filter(is_seed), table.filter(pc.invert(is_seed)).select(keys)
+        if not len(known) or not len(wanted):
+            return wanted.slice(0, 0).append_column("label", pa.array([], pa.int64())).append_column("d2", pa.array([], pa.int64()))
+        sy, sx, label = (known.column(c).to_numpy() for c in ("y", "x", "label"))
+        label, d2 = nearest_in_tile(sy, sx, label, wanted.column("y").to_numpy(), wanted.column("x").to_numpy(), int(radius))
+        out = wanted.append_column("label", pa.array(label)).append_column("d2", pa.array(d2))
+        return out.filter(pa.array(d2 <= radius * radius))
+
+    types = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in seeds.schema.fields if f.name in by)
+    best = given.unionByName(asked).groupBy(*by, "tile_y", "tile_x").applyInArrow(run, f"{types}y long, x long, label long, d2 long")
+    rest = [c for c in support.columns if c not in (*keys, "label")]
+    return support.select(*keys, *rest).join(best, keys) if rest else best
 
 
 def aperture(seeds: DataFrame, valid: DataFrame, radius: float, by: Sequence[str] = ()) -> DataFrame:
@@ -93,19 +143,19 @@ def geodesic(seeds: DataFrame, support: DataFrame, reach: float, by: Sequence[st
     of relaxation joins (the integer part of the reach), each cut.
     """
     keys = [*by, "y", "x"]
-    far = F.round("dist", 9)
-    state = seeds.select(*keys, "label", F.lit(0.0).alias("dist"))
-    front = state
+    state = front = seeds.select(*keys, "label", F.lit(0.0).alias("dist"), F.lit(0).alias("fresh"))
     for _ in range(int(reach)):
         step = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(1.0 if 0 in (dy, dx) else 2**0.5).alias("c")) for dy, dx in AROUND]))
         offers = front.select(*by, "y", "x", "label", "dist", step.alias("s")).select(
-            *by, (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), "label", (F.col("dist") + F.col("s.c")).alias("dist")
+            *by, (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), "label", (F.col("dist") + F.col("s.c")).alias("dist"), F.lit(1).alias("fresh")
         )
         offers = offers.where(F.col("dist") <= reach + 1e-9).join(support.select(*keys), keys)
-        merged = state.unionByName(offers).groupBy(*keys).agg(F.min(F.struct(far.alias("d"), "label", "dist")).alias("b"))
-        state = cut(merged.select(*keys, F.col("b.label").alias("label"), F.col("b.dist").alias("dist")), "geodesic")
-        front = state
-    return state.join(seeds.select(*keys), keys, "left_anti")
+        # What was there before stays for equal lengths and labels; only pixels that changed make offers.
+        best = F.min(F.struct(F.round("dist", 9).alias("d"), "label", "fresh", "dist")).alias("b")
+        merged = state.withColumn("fresh", F.lit(0)).unionByName(offers).groupBy(*keys).agg(best)
+        state = cut(merged.select(*keys, F.col("b.label").alias("label"), F.col("b.dist").alias("dist"), F.col("b.fresh").alias("fresh")), "geodesic")
+        front = state.where("fresh = 1")
+    return state.drop("fresh").join(seeds.select(*keys), keys, "left_anti")
 
 
 def published_owner(support: DataFrame, measured: DataFrame, flood: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -182,11 +232,37 @@ def component_islands(own: DataFrame, parents: DataFrame, parent_islands: DataFr
     )
 
 
+def labels_within(owners: DataFrame, distance: int, by: Sequence[str] = (), core: int = 256) -> DataFrame:
+    """Distinct pairs (a_label < b_label) with pixels at most so many rows and columns apart, found in halo tiles."""
+    core = max(core, distance + 1)
+    dealt = with_halo(owners.select(*by, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("label").cast("long").alias("label")), core, distance)
+
+    def run(table: pa.Table) -> pa.Table:
+        y, x, label = (table.column(c).to_numpy() for c in ("y", "x", "label"))
+        pairs = set()
+        if len(names := np.unique(label)) > 1:
+            y0, x0 = y.min(), x.min()
+            plane = np.zeros((int(y.max() - y0) + 1, int(x.max() - x0) + 1), np.int64)
+            plane[y - y0, x - x0] = np.searchsorted(names, label) + 1
+            order = np.argsort(label, kind="stable")
+            edges = np.append(np.searchsorted(label[order], names), len(label))
+            for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True), 1):
+                mine = order[a:b]
+                top, left = max(0, int(y[mine].min() - y0) - distance), max(0, int(x[mine].min() - x0) - distance)
+                window = plane[top : int(y[mine].max() - y0) + distance + 1, left : int(x[mine].max() - x0) + distance + 1]
+                near = moving_max((window == k).astype(float), distance, distance) > 0
+                pairs |= {(k, int(other)) for other in np.unique(window[near]) if other > k}
+        found = sorted(pairs)
+        out = {b: pa.array([table.column(b)[0].as_py()] * len(found), table.schema.field(b).type) for b in by}
+        return pa.table(out | {"a_label": pa.array([int(names[a - 1]) for a, _ in found], pa.int64()), "b_label": pa.array([int(names[b - 1]) for _, b in found], pa.int64())})
+
+    types = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in owners.schema.fields if f.name in by)
+    return dealt.groupBy(*by, "tile_y", "tile_x").applyInArrow(run, f"{types}a_label long, b_label long").distinct()
+
+
 def fit_parents(owners: DataFrame, margin: int = 8, by: Sequence[str] = ()) -> DataFrame:
     """Owners whose supports grown by a margin touch share a parent: (label, parent), parent the smallest label."""
-    square = [(dy, dx) for dy in range(-margin, margin + 1) for dx in range(-margin, margin + 1)]
-    grown = dilate(owners, square, by, ["label"])
-    pairs = lab.touching_labels(grown, grown, by).where("a_label < b_label")
+    pairs = labels_within(owners, 2 * margin + 1, by)
     groups = connected_components(pairs.select(F.col("a_label").alias("src"), F.col("b_label").alias("dst")))
     return owners.select("label").distinct().join(groups.withColumnRenamed("node", "label"), "label", "left").select("label", F.coalesce("component", "label").alias("parent"))
 

@@ -47,7 +47,14 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the table behind a cut that nothing reads any more, such as a round before the last."""
+    drop_path(df.sparkSession, df.cut_path)
 
 
 def partitions(spark: SparkSession) -> int:
