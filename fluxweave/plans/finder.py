@@ -39,6 +39,7 @@ class FinderConfig:
     influence: float = 75.0
     transition: float = 20.0
     aperture_beams: float = 1.5
+    refine_radius: float = 2.0
     core: int = 512
 
     def __post_init__(self):
@@ -63,13 +64,21 @@ class Image:
 
 @dataclass
 class Found:
-    """The finder's tables; `usable` is false when no pixel has noise."""
+    """The finder's tables; `usable` is false when no pixel has noise.
+
+    published: the mask's support with its label; of the continuum profile also scales (scale,
+    y, x, label), the persistent features, and hierarchy (component, group), the proposals of
+    the scale hierarchy, which join nothing without measured evidence.
+    """
 
     noise: DataFrame
     labels: DataFrame
     islands: DataFrame
     components: DataFrame
     sources: DataFrame
+    published: DataFrame | None = None
+    scales: DataFrame | None = None
+    hierarchy: DataFrame | None = None
     usable: bool = True
     facts: dict = field(default_factory=dict)
 
@@ -81,9 +90,19 @@ def estimate_noise(image: Image, config: FinderConfig) -> DataFrame:
     if window > side / 4:  # small images shrink the windows
         window = max(8, side // 4)
         step = max(2, window // 3)
-    grid = cut(noise.fill_grid(noise.window_statistics(image.pixels, image.shape, (window, window), (step, step))), "coarse")
-    plane = noise.interpolate(image.pixels, grid, image.shape, (window, window), (step, step))
-    plane = cut(plane.select("y", "x", "value", "background", "rms"), "noise")
+    boxes = (window, window), (step, step)
+
+    def over(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
+        grid = cut(noise.fill_grid(noise.window_statistics(samples, image.shape, *boxes)), "coarse")
+        plane = noise.interpolate(image.pixels, grid, image.shape, *boxes)
+        return grid, cut(plane.select("y", "x", "value", "background", "rms"), "noise")
+
+    grid, plane = over(image.pixels)
+    if config.profile == "continuum":
+        guarded = protected_samples(plane, config)
+        if not guarded.isEmpty():  # once more without the emission that stands out
+            free = image.pixels.join(guarded.withColumn("_p", F.lit(True)), ["y", "x"], "left")
+            grid, plane = over(free.select("y", "x", F.when(F.col("_p").isNull(), F.col("value")).alias("value")))
     snr = pixels.normalize_residual(F.col("value"), F.col("background"), F.col("rms"))
     bright = plane.where(snr > config.bright_sigma).withColumn("snr", snr)
     fine_window, fine_step = config.fine
@@ -92,7 +111,8 @@ def estimate_noise(image: Image, config: FinderConfig) -> DataFrame:
     peaks = labels.summarize(bright.join(labels.label_regions(bright, config.core), ["y", "x"]), F.lit(True)).select(F.col("label").alias("id"), F.col("peak_at.y").alias("y"), F.col("peak_at.x").alias("x"))
     peaks = cut(peaks, "peaks")
     guard = plane.select("y", "x", "value", F.coalesce(snr >= config.island_sigma, F.lit(False)).alias("protected"))
-    fine_grid = cut(noise.fill_grid(noise.window_statistics(guard, image.shape, (fine_window, fine_window), (fine_step, fine_step), protected=True)), "fine")
+    fine_boxes = (fine_window, fine_window), (fine_step, fine_step)
+    fine_grid = cut(local_noise(noise.window_statistics(guard, image.shape, *fine_boxes, protected=True), grid, image, boxes, fine_boxes), "fine")
     fine = noise.interpolate(plane.select("y", "x", "value"), fine_grid, image.shape, (fine_window, fine_window), (fine_step, fine_step), extrapolate_rms=False)
     reach = int(config.influence)
     # Distances to peaks: each peak offers itself to the tiles its influence meets.
@@ -108,26 +128,90 @@ def estimate_noise(image: Image, config: FinderConfig) -> DataFrame:
     return cut(both.select("y", "x", "value", b.alias("background"), r.alias("rms")), "blended")
 
 
-def detect(plane: DataFrame, image: Image, config: FinderConfig) -> DataFrame:
-    """Accepted labels with S/N and residual: direct significance, and matched filters in the continuum profile."""
+def protected_samples(plane: DataFrame, config: FinderConfig) -> DataFrame:
+    """Pixels (y, x) of significant emission with a seed: they say nothing of the noise."""
+    snr = pixels.normalize_residual(F.col("value"), F.col("background"), F.col("rms"))
+    mask = cut(plane.select("y", "x", snr.alias("snr")).where(F.col("snr") >= config.island_sigma), "protect")
+    named = mask.join(labels.label_regions(mask.select("y", "x"), config.core), ["y", "x"])
+    return cut(support.seeded_regions(named, F.col("snr") > config.detection_sigma).select("y", "x"), "protected")
+
+
+def local_noise(own: DataFrame, coarse: DataFrame, image: Image, boxes: tuple, fine_boxes: tuple) -> DataFrame:
+    """The fine grid with its unavailable cells filled: from clean windows near by, else by the coarse estimate's word."""
+    keys = ["cell_y", "cell_x"]
+    cells = noise.plan_grid(coarse.sparkSession, image.shape, *fine_boxes).select(*keys, F.col("sample_y").alias("y"), F.col("sample_x").alias("x"), F.lit(0.0).alias("value"))
+    wide = noise.interpolate(cells, coarse, image.shape, *boxes).select(*keys, F.col("rms").alias("coarse_rms"))
+    own = cut(own, "fine_windows")
+    filled = noise.fill_grid(own)
+    joined = filled.join(own.select(*keys, F.col("rms").alias("own_rms")), keys).join(wide, keys)
+    return noise.choose_local_noise(joined).select(*keys, "background", "rms", "available")
+
+
+def scale_features(scale_snr: DataFrame, config: FinderConfig, least: int) -> DataFrame:
+    """(scale, y, x, label, snr): seeded features of each scale that overlap one of an adjacent scale."""
+    long = scale_snr.select("y", "x", F.explode(F.array(*[F.struct(F.lit(k).alias("scale"), F.col(f"snr_{k}").alias("snr")) for k in (1, 2, 3)])).alias("s")).select("s.scale", "y", "x", "s.snr")
+    mask = cut(long.where(F.col("snr") >= config.island_sigma), "scales")
+    named = mask.join(labels.label_regions(mask.select("scale", "y", "x"), config.core, by=["scale"]), ["scale", "y", "x"])
+    seeded = cut(support.seeded_regions(named, F.col("snr") > config.detection_sigma, least, ["scale"]), "seeded")
+    return cut(support.persistent_features(seeded), "persistent")
+
+
+def hierarchy(regions: DataFrame, scales: DataFrame) -> DataFrame:
+    """(component, group): components that meet at a feature of a coarser scale and share persistent support."""
+    name = lambda scale, label: F.struct(scale.cast("long").alias("scale"), label.alias("label"))
+    edges = support.adjacent_edges(scales).select(name(F.col("scale"), F.col("child")).alias("child"), name(F.col("scale") + 1, F.col("parent")).alias("parent"))
+    features = scales.select(name(F.col("scale"), F.col("label")).alias("feature")).distinct()
+    first = scales.where("scale = 1").select("y", "x", name(F.lit(1), F.col("label")).alias("feature"))
+    attached = regions.select("y", "x", F.col("component").alias("owner")).join(first, ["y", "x"]).select("owner", "feature").distinct()
+    lineage = association.lineages(features, edges, 2)
+    met = association.hierarchy_groups(association.owner_features(attached, lineage), lineage)
+    whole = scales.select("y", "x").distinct()
+    part = whole.join(labels.label_regions(whole), ["y", "x"]).withColumnRenamed("label", "support")
+    held = regions.select("y", "x", F.col("component").alias("owner")).join(part, ["y", "x"]).select("owner", "support").distinct()
+    return association.supported_groups(met, held).select(F.col("owner").alias("component"), "group")
+
+
+def published_support(found: DataFrame, persistent: DataFrame | None, config: FinderConfig) -> DataFrame:
+    """(y, x, label) of the mask: refined support, with owners restored that refinement split or took away, and bridges kept."""
+    if persistent is None:
+        return found.select("y", "x", "label")
+    original = found.select("y", "x", "label", "snr")
+    refined = cut(support.refined_support(original, persistent, config.refine_radius).dropDuplicates(["y", "x"]), "refined")
+    bridged = refined.unionByName(support.bridges(original, refined).select("y", "x", "label")).dropDuplicates(["y", "x"])
+    bridged = cut(bridged, "bridged")
+    return cut(support.restore(original, bridged, support.owners_to_restore(original, bridged)), "published")
+
+
+def source_support(owned: DataFrame, scales: DataFrame, plane: DataFrame, reach: float) -> DataFrame:
+    """owned(y, x, label, residual, rms) with the persistent pixels that no source owns, each to the nearest source within reach."""
+    free = scales.select("y", "x").distinct().join(owned.select("y", "x"), ["y", "x"], "left_anti")
+    near = support.nearest_seed(owned.select("y", "x", "label"), free, reach).select("y", "x", "label")
+    measured_ = plane.where("value is not null and rms > 0").select("y", "x", (F.col("value") - F.col("background")).alias("residual"), "rms")
+    return owned.unionByName(near.join(measured_, ["y", "x"]).select(owned.columns))
+
+
+def detect(plane: DataFrame, image: Image, config: FinderConfig) -> tuple[DataFrame, DataFrame | None]:
+    """Accepted labels with S/N and residual, and the persistent features of the continuum profile's matched filters."""
     sigma = [b / S.FWHM for b in image.beam[:2]]
     snr = pixels.normalize_residual(F.col("value"), F.col("background"), F.col("rms"))
     full = plane.withColumn("snr", snr).withColumn("residual", F.col("value") - F.col("background"))
-    combined = full.withColumn("combined", F.col("snr"))
+    combined, features = full.withColumn("combined", F.col("snr")), None
+    least = config.least_pixels or multiscale.least_pixels(image.beam[:2])
     if config.profile == "continuum":
         bank = multiscale.matched_filters(full.select("y", "x", F.col("residual").alias("value"), "rms"), (sigma[0], sigma[1], image.beam[2]), core=config.core)
         scales = [multiscale.scale_snr(F.col(f"response_{k}"), F.col(f"effective_rms_{k}"), F.col(f"support_{k}")) for k in (1, 2, 3)]
-        combined = full.join(bank, ["y", "x"], "left").withColumn("combined", F.greatest("snr", *scales)).select(*full.columns, "combined")
+        bank = cut(bank.select("y", "x", *[c.alias(f"snr_{k}") for k, c in enumerate(scales, 1)]), "bank")
+        features = scale_features(bank, config, least)
+        combined = full.join(bank, ["y", "x"], "left").withColumn("combined", F.greatest("snr", "snr_1", "snr_2", "snr_3")).select(*full.columns, "combined")
     mask = cut(combined.where(F.col("snr") >= config.island_sigma), "mask")
     named = mask.join(labels.label_regions(mask.select("y", "x"), config.core), ["y", "x"])
-    least = config.least_pixels or multiscale.least_pixels(image.beam[:2])
     if config.profile == "compact":
         good = labels.cut_regions(labels.summarize(named, F.col("snr") > config.detection_sigma), least, config.most_pixels)
     else:
         good = multiscale.detection_rule(named, least, config.detection_sigma)
         if config.most_pixels is not None:
             good = good.where(F.col("n_pixels") <= config.most_pixels)
-    return cut(named.join(good.select("label"), "label", "left_semi"), "labels")
+    return cut(named.join(good.select("label"), "label", "left_semi"), "labels"), features
 
 
 def measure_components(found: DataFrame, image: Image, config: FinderConfig) -> DataFrame:
@@ -162,13 +246,16 @@ def find_sources(image: Image, config: FinderConfig | None = None) -> Found:
     usable = not plane.where("rms > 0").limit(1).isEmpty()
     if config.background == "zero":
         plane = plane.withColumn("background", F.when(F.col("background").isNotNull(), F.lit(0.0)))
-    found = detect(plane, image, config)
+    found, scales = detect(plane, image, config)
     area = S.BEAM_AREA * image.beam[0] * image.beam[1]
     components, regions = measure_components(found, image, config)
     if config.profile == "continuum":
         measured = source_groups(regions, components, image, config)
+        named = regions.join(components.select("label", "region", "component"), ["label", "region"])
+        proposed = cut(hierarchy(named, scales), "hierarchy")
     else:
         measured = components.select("component", F.col("component").alias("group")).where("false")
+        proposed = measured
     member = association.constrain_memberships(components, measured, measured).drop("proposed")
     member = cut(member, "members")
     flux = F.col("amplitude") * 2 * math.pi * F.col("sigma_1") * F.col("sigma_2") / area
@@ -185,6 +272,8 @@ def find_sources(image: Image, config: FinderConfig | None = None) -> Found:
     # Sources: owned pixels of their components, exclusive apertures around them.
     names = components.select("label", "region", "component").join(member, "component")
     owned = regions.join(names, ["label", "region"]).select("y", "x", F.col("source").alias("label"), "residual", "rms")
+    if scales is not None:
+        owned = source_support(owned, scales, plane, config.aperture_beams * max(image.beam[:2]))
     owned = cut(owned, "owned")
     valid = plane.where("value is not null and background is not null").select("y", "x", (F.col("value") - F.col("background")).alias("residual"))
     apertures = support.aperture(owned.select("y", "x", "label"), valid.select("y", "x"), config.aperture_beams * max(image.beam[:2])).join(valid, ["y", "x"])
@@ -196,7 +285,7 @@ def find_sources(image: Image, config: FinderConfig | None = None) -> Found:
     if image.wcs is not None:
         sources = sources.withColumn("_p", sky_position(image.wcs, F.col("centroid_x"), F.col("centroid_y"))).withColumn("ra", F.col("_p.ra")).withColumn("dec", F.col("_p.dec")).drop("_p")
     islands = measure.island_rows(found.select("y", "x", "label", "residual", "rms"), area)
-    return Found(plane, found, islands, rows, sources, usable, {"shape": list(image.shape), "config": asdict(config)})
+    return Found(plane, found, islands, rows, sources, published_support(found, scales, config), scales, proposed, usable, {"shape": list(image.shape), "config": asdict(config)})
 
 
 def open_fits(spark: SparkSession, path: str, **supplied) -> Image:
@@ -234,7 +323,7 @@ def publish(found: Found, image: Image, output: str) -> list[dict]:
         target.mkdir()
         fits.write_tables(str(target / "catalogue.fits"), tables, cards)
         fits.write_image(str(target / "rms.fits"), image.shape, products.row_blocks(found.noise.select("y", "x", F.col("rms").alias("value")), image.shape), cards)
-        mask = found.labels.select("y", "x", F.lit(1.0).alias("value"))
+        mask = (found.published or found.labels).select("y", "x", F.lit(1.0).alias("value"))
         fits.write_image(str(target / "mask.fits"), image.shape, (np.nan_to_num(b) for b in products.row_blocks(mask, image.shape)), (), 8)
         counts = {k: len(t) for k, t in tables.items()}
         products.write_json(str(target / "diagnostics.json"), json.loads(json.dumps({"counts": counts, "usable_noise": found.usable, **found.facts})))

@@ -290,6 +290,52 @@ def find_sources_continuum(spark, sf_dir):
     return found.components.select("component_id", "source_id", "model", "reason", r("flux", 4), r("ra", 7), r("dec", 7))
 
 
+def _continuum(spark, sf_dir):
+    image = _image(spark, sf_dir)
+    return image, finder.FinderConfig(coarse=(48, 16), bright_sigma=9.0, fine=(12, 4))
+
+
+@query("T3 T4 protected coarse windows and local noise around bright peaks")
+def protected_noise(spark, sf_dir):
+    image, config = _continuum(spark, sf_dir)
+    plane = finder.estimate_noise(image, config)
+    return plane.where("rms is not null").groupBy(F.floor(F.col("y") / 50).alias("band")).agg(F.round(F.avg("rms"), 4).alias("rms"), F.round(F.avg("background"), 4).alias("background"), F.count("*").alias("n"))
+
+
+def _features(spark, sf_dir):
+    image, config = _continuum(spark, sf_dir)
+    plane = image.pixels.select("y", "x", "value", F.lit(0.0).alias("background"), F.lit(I.NOISE).alias("rms"))
+    return image, config, plane, *finder.detect(plane, image, config)
+
+
+@query("T9 persistent features of adjacent scales")
+def support_topology(spark, sf_dir):
+    scales = _features(spark, sf_dir)[-1]
+    return scales.groupBy("scale", "label").agg(F.count("*").alias("n_pixels"), F.round(F.max("snr"), 3).alias("peak"))
+
+
+@query("T10 published support of refined, restored and bridged owners")
+def publication_mask(spark, sf_dir):
+    _, config, _, found, scales = _features(spark, sf_dir)
+    return finder.published_support(found, scales, config).select("y", "x", "label")
+
+
+@query("T14 proposals of the scale hierarchy")
+def hierarchy_overlap(spark, sf_dir):
+    image, config, _, found, scales = _features(spark, sf_dir)
+    components, regions = finder.measure_components(found, image, config)
+    named = regions.join(components.select("label", "region", "component"), ["label", "region"])
+    return finder.hierarchy(named, scales)
+
+
+@query("T16 sources take the persistent support near them")
+def source_support(spark, sf_dir):
+    _, _, plane, found, scales = _features(spark, sf_dir)
+    owned = found.select("y", "x", "label", "residual", "rms")
+    every = finder.source_support(owned, scales, plane, 6.0)
+    return every.groupBy("label").agg(F.count("*").alias("n_pixels"), F.round(F.sum("residual"), 4).alias("flux"))
+
+
 @query("S22 S23 S25 S26 S28 T22: products of a run, with checksums")
 def published_products(spark, sf_dir):
     image = _image(spark, sf_dir)
