@@ -9,7 +9,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -71,6 +71,24 @@ def tiles_meeting(boxes: DataFrame, core: tuple[int, int], origin: tuple[int, in
     return some.withColumn("tile_y", F.explode(span("y0", "y1", 0))).withColumn("tile_x", F.explode(span("x0", "x1", 1)))
 
 
+def batch_objects(objects: DataFrame, core: tuple[int, int], budget: int) -> DataFrame:
+    """objects(id, y0, y1, x0, x1) with `tile_y`, `tile_x` and `batch`: those of a storage core in raster order, cut by read budget.
+
+    A batch takes objects until their boxes' pixels reach the budget, so it reads less than
+    the budget and one object; cores are independent of each other.
+    """
+    area = (F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0"))
+    ty, tx = owner(F.col("y0"), F.col("x0"), core)
+    placed = objects.withColumn("tile_y", ty.cast("long")).withColumn("tile_x", tx.cast("long"))
+    before = F.sum(area).over(Window.partitionBy("tile_y", "tile_x").orderBy("y0", "x0", "id").rowsBetween(Window.unboundedPreceding, -1))
+    return placed.withColumn("batch", F.floor(F.coalesce(before, F.lit(0)) / budget))
+
+
+def core_side(budget_bytes: Column, halo: Column, pixel_bytes: Column) -> Column:
+    """Side of the largest square core whose tile with its halo fits a task's memory; 0 if none does."""
+    return F.greatest(F.lit(0).cast("long"), F.floor(F.sqrt(F.floor(budget_bytes / pixel_bytes).cast("double"))) - 2 * halo)
+
+
 def with_halo(pixels: DataFrame, core: int, halo: int) -> DataFrame:
     """Each pixel once for every tile whose core or halo holds it: tile_y, tile_x added.
 

@@ -322,9 +322,9 @@ def publish(found: Found, image: Image, output: str) -> list[dict]:
         target = stage / "products"
         target.mkdir()
         fits.write_tables(str(target / "catalogue.fits"), tables, cards)
-        fits.write_image(str(target / "rms.fits"), image.shape, products.row_blocks(found.noise.select("y", "x", F.col("rms").alias("value")), image.shape), cards)
-        mask = (found.published or found.labels).select("y", "x", F.lit(1.0).alias("value"))
-        fits.write_image(str(target / "mask.fits"), image.shape, (np.nan_to_num(b) for b in products.row_blocks(mask, image.shape)), (), 8)
+        fits.write_plane(str(target / "rms.fits"), image.shape, found.noise.select("y", "x", F.col("rms").alias("value")), cards)
+        mask = (found.published if found.published is not None else found.labels).select("y", "x", F.lit(1.0).alias("value"))
+        fits.write_plane(str(target / "mask.fits"), image.shape, mask, (), 8)
         counts = {k: len(t) for k, t in tables.items()}
         products.write_json(str(target / "diagnostics.json"), json.loads(json.dumps({"counts": counts, "usable_noise": found.usable, **found.facts})))
         manifest = [products.describe(str(p), p.stem) for p in sorted(target.iterdir())]

@@ -7,11 +7,16 @@ window reads the rows it needs.
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Iterable, Iterator
+from contextlib import nullcontext
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 BLOCK = 2880
@@ -153,10 +158,10 @@ def image_metadata(path: str, *, unit: str | None = None, beam: tuple | None = N
     }
 
 
-def read_rows(meta: dict, y0: int, y1: int) -> np.ndarray:
-    """Decoded rows of an image: scale, zero and blank applied, NaN where invalid."""
+def read_rows(meta: dict, y0: int, y1: int, file=None) -> np.ndarray:
+    """Decoded rows of an image (of an open file, if there is one): scale, zero and blank applied, NaN where invalid."""
     kind, width = np.dtype(_KINDS[meta["bitpix"]]), meta["shape"][1]
-    with _open(meta["path"]) as f:
+    with nullcontext(file) if file is not None else _open(meta["path"]) as f:
         f.seek(meta["offset"] + y0 * width * kind.itemsize)
         raw = np.frombuffer(f.read((y1 - y0) * width * kind.itemsize), kind)
     if len(raw) != (y1 - y0) * width:
@@ -168,8 +173,18 @@ def read_rows(meta: dict, y0: int, y1: int) -> np.ndarray:
 
 
 def read_windows(meta: dict, boxes: list[tuple[int, int, int, int]]) -> list[np.ndarray]:
-    """Several windows (y0, y1, x0, x1)."""
-    return [read_rows(meta, y0, y1)[:, x0:x1] for y0, y1, x0, x1 in boxes]
+    """Several windows (y0, y1, x0, x1) of one file, which is opened once."""
+    with _open(meta["path"]) as f:
+        return [read_rows(meta, y0, y1, f)[:, x0:x1] for y0, y1, x0, x1 in boxes]
+
+
+def load_windows(spark, path: str, boxes: list[tuple[int, int, int, int]]):
+    """window, y, x, value: the pixels of several boxes in one scan, which reads the rows that any of them needs."""
+    register(spark)
+    inside = [(F.col("y") >= y0) & (F.col("y") < y1) & (F.col("x") >= x0) & (F.col("x") < x1) for y0, y1, x0, x1 in boxes]
+    held = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in enumerate(inside)]))
+    scan = spark.read.format("fits").option("rows", json.dumps(sorted({(y0, y1) for y0, y1, _, _ in boxes}))).load(path)
+    return scan.select(F.explode(held).alias("window"), "y", "x", "value")
 
 
 # --- data source --------------------------------------------------------------------------
@@ -181,8 +196,9 @@ class _Rows(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, meta: dict):
+    def __init__(self, meta: dict, rows: list[tuple[int, int]] | None = None):
         self.meta = meta
+        self.rows = rows if rows is not None else [(0, meta["shape"][0])]
         self.y, self.x = [0, meta["shape"][0]], [0, meta["shape"][1]]
 
     def pushFilters(self, filters):  # noqa: N802 - Spark's name
@@ -203,7 +219,13 @@ class _Reader(DataSourceReader):
 
     def partitions(self):
         rows = max(1, BLOCK_PIXELS // max(1, self.meta["shape"][1]))
-        return [_Rows(a, min(a + rows, self.y[1])) for a in range(self.y[0], max(self.y[0], self.y[1]), rows)] or [_Rows(0, 0)]
+        wanted: list[list[int]] = []  # row ranges without overlap
+        for low, high in sorted((max(a, self.y[0]), min(b, self.y[1])) for a, b in self.rows):
+            if wanted and low <= wanted[-1][1]:
+                wanted[-1][1] = max(wanted[-1][1], high)
+            elif low < high:
+                wanted.append([low, high])
+        return [_Rows(a, min(a + rows, high)) for low, high in wanted for a in range(low, high, rows)] or [_Rows(0, 0)]
 
     def read(self, partition) -> Iterator[pa.RecordBatch]:
         step = max(1, (1 << 16) // max(1, self.x[1] - self.x[0]))
@@ -228,7 +250,8 @@ class FitsImage(DataSource):
     def reader(self, schema) -> DataSourceReader:
         o = self.options
         beam = tuple(float(o[k]) if k in o else None for k in ("bmaj", "bmin", "bpa"))
-        return _Reader(image_metadata(o["path"], unit=o.get("unit"), beam=beam, frequency=float(o["frequency"]) if "frequency" in o else None))
+        rows = [tuple(r) for r in json.loads(o["rows"])] if "rows" in o else None
+        return _Reader(image_metadata(o["path"], unit=o.get("unit"), beam=beam, frequency=float(o["frequency"]) if "frequency" in o else None), rows)
 
 
 def register(spark) -> None:
@@ -259,6 +282,46 @@ def write_image(path: str, shape: tuple[int, int], row_blocks: Iterable[np.ndarr
         _pad(f, shape[0] * shape[1] * kind.itemsize)
 
 
+def write_plane(path: str, shape: tuple[int, int], plane, cards: Iterable[tuple] = (), bitpix: int = -32, rows: int = 256) -> None:
+    """A primary image from plane(y, x, value), written by the tasks: each block of rows at its place in the file.
+
+    The folder is one that driver and executors all mount. Absent pixels are NaN, in whole numbers
+    0. A repeated task writes the same bytes again; the file is complete when every block reports.
+    """
+    kind, width = np.dtype(_KINDS[bitpix]), shape[1]
+    header = encode_header([("SIMPLE", True), ("BITPIX", bitpix), ("NAXIS", 2), ("NAXIS1", width), ("NAXIS2", shape[0]), *cards])
+    size = shape[0] * width * kind.itemsize
+    with open(path, "xb") as f:
+        f.write(header)
+        f.truncate(len(header) + size + -size % BLOCK)
+
+    def write(table: pa.Table) -> pa.Table:
+        at = table.column("block")[0].as_py()
+        y0 = at * rows
+        block = np.full((min(rows, shape[0] - y0), width), np.nan)
+        given = table.filter(pc.is_valid(table.column("y")))
+        block[given.column("y").to_numpy() - y0, given.column("x").to_numpy()] = given.column("value").cast(pa.float64()).to_numpy(zero_copy_only=False)
+        if bitpix > 0:
+            block = np.nan_to_num(block)
+        handle = os.open(path, os.O_WRONLY)
+        try:
+            data, offset = block.astype(kind).tobytes(), len(header) + y0 * width * kind.itemsize
+            while data:
+                n = os.pwrite(handle, data, offset)
+                data, offset = data[n:], offset + n
+            os.fsync(handle)
+        finally:
+            os.close(handle)
+        return pa.table({"block": pa.array([at], pa.int64())})
+
+    blocks = -(-shape[0] // rows)
+    given = plane.select(F.floor(F.col("y") / rows).alias("block"), F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("value").cast("double").alias("value"))
+    every = plane.sparkSession.range(blocks).select(F.col("id").alias("block"), *[F.lit(None).cast(t).alias(c) for c, t in (("y", "long"), ("x", "long"), ("value", "double"))])
+    done = given.unionByName(every).groupBy("block").applyInArrow(write, "block long").count()
+    if done != blocks:
+        raise FitsError(f"{done} of {blocks} row blocks were written")
+
+
 def _columns(table: pa.Table) -> list[tuple[str, str, np.ndarray]]:
     out = []
     for name in table.column_names:
