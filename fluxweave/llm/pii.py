@@ -3,10 +3,14 @@
 Base spans come from fixed patterns. Beyond them, generators of high recall propose
 overlapping candidates (spelled-out addresses, phone numbers without a plus, grouped card
 numbers, addresses of eight groups); boosted trees judge each by its format and context,
-and those over their kind's calibrated threshold are added. The trees learn from examples built from
-a fixed seed: sensitive formats with fitting words around them, and look-alikes (orders,
-dates, prices, versions, measures) in plain contexts. A threshold is the least one, LEAST
-or more, with PRECISION on examples kept out of training. No document text is needed for training.
+and those over their kind's calibrated threshold are added. The trees learn from two kinds of
+examples. Built ones, from a fixed seed: sensitive formats with fitting words around them, and
+look-alikes (orders, dates, prices, versions, measures) in plain contexts. And, with `fit`, ones
+of the documents: base spans written another way where they stand (spelled-out addresses,
+numbers without their plus or with other separators) are positive, other candidates of the
+documents are negative. A threshold is the least one, LEAST or more, with PRECISION on
+examples (of other documents) kept out of training. The sample of documents is bounded: about SAMPLE of them by a
+hash, SAMPLE_CHARS of each; detection reads whole texts.
 
 Positions are code points, end exclusive. Null texts are empty and have no spans. Rows are
 independent of each other, so ties and repeats do not matter; other columns are ignored.
@@ -28,8 +32,12 @@ from fluxweave.llm.textkit import modest_batches
 
 KINDS = ("email", "ip", "card", "phone")
 PRECISION = 0.98
-LEAST = 0.9
+LEAST = 0.5
 CONTEXT = 32
+SAMPLE = 2000
+SAMPLE_CHARS = 20_000
+REWRITES = 12  # of each base span of a sampled document
+EXAMPLES = 3000  # of each label from documents, drawn with repeats from what there is
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -87,9 +95,11 @@ _GENERATORS = (
     (2, re.compile(r"(?<![0-9])[0-9]{13,19}(?![0-9])")),
     (3, re.compile(r"(?<![0-9A-Za-z+])\(?0?[0-9]{2,4}\)?[\x20./-]{1,2}[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])")),
     (3, re.compile(r"(?<![0-9A-Za-z+])0[0-9]{2,4}[\x20/-][0-9]{5,8}(?![0-9])")),
+    (3, re.compile(r"(?<![0-9A-Za-z+])00[0-9](?:[\x20().-]{0,2}[0-9]){8,13}(?![0-9])")),
 )
+_SPELLED_IP = re.compile(r"(?<![0-9])[0-9]{1,3}(?:\x20?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\)|\x20dot\x20)\x20?[0-9]{1,3}){3}(?![0-9])")
 _AT = re.compile(r"\x20?(?:\([Aa][Tt]\)|\[[Aa][Tt]\])\x20?|\x20at\x20")
-_AFTER_AT = re.compile(r"[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|\([Dd][Oo][Tt]\)|\[[Dd][Oo][Tt]\]|\x20dot\x20)\x20?[A-Za-z]{2,12})+")
+_AFTER_AT = re.compile(r"[A-Za-z0-9-]+(?:\x20?(?:\.|\([Dd][Oo][Tt]\)|\[[Dd][Oo][Tt]\]|\x20dot\x20)\x20?[A-Za-z0-9-]*[A-Za-z])+")
 #: Cue words for each kind, fixed.
 _CUES = (
     ("mail", "e-mail", "contact", "write", "reach", "address"),
@@ -103,13 +113,16 @@ _NUMBER = re.compile(r"[0-9][0-9\x20./()-]{8}")
 
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """Overlapping proposals, many of them wrong."""
-    out = []
+    out, done = [], 0
     for at in _AT.finditer(text):
         start = at.start()
-        while start > max(0, at.start() - 64) and text[start - 1] in _LOCAL:
+        while start > done and text[start - 1] in _LOCAL:
             start -= 1
         if start < at.start() and (m := _AFTER_AT.match(text, at.end())):
             out.append((0, start, m.end()))
+        done = at.end()
+    if "dot" in text or "[.]" in text or "(.)" in text:
+        out += [(1, m.start(), m.end()) for m in _SPELLED_IP.finditer(text)]
     numbers = _NUMBER.search(text) is not None
     for kind, pattern in _GENERATORS:
         if numbers or kind == 1 and text.count(":") >= 7:
@@ -145,6 +158,9 @@ def features(text: str, kind: int, start: int, end: int) -> list[float]:
         sum(c in after for c in _CUES[kind]),
         sum(c in before for c in _AGAINST),
         float(before.rstrip().endswith((":", "=", "#"))),
+        sum(s.lower().count(c) for c in ("dot", "at)", "at]", "[.]", "(.)")),
+        float(s.startswith("00")),
+        max((len(w) for w in re.split("[^A-Za-z0-9-]+", s)), default=0),
     ]
 
 
@@ -198,16 +214,50 @@ def _examples(seed: int = 11, n: int = 6000) -> tuple[np.ndarray, np.ndarray]:
     return np.array(xs), np.array(ys)
 
 
-@lru_cache
-def model() -> tuple[Boosted, np.ndarray]:
-    """The trees and for each kind the least threshold, LEAST or more, of PRECISION on the last third of the examples."""
-    x, y = _examples()
-    cut = len(x) * 2 // 3
-    trees = Boosted().fit(x[:cut], y[:cut])
+def rewritten(kind: int, s: str, pick) -> str:
+    """A base span written another way, which the fixed patterns do not know."""
+    if kind == 0:
+        local, domain = s.split("@")
+        return local + pick([" at ", "(at)", "[at]", " (at) ", " [at] "]) + domain.replace(".", pick([" dot ", "(dot)", "[dot]", " [dot] "]))
+    if kind == 1:
+        return s.replace(".", pick(["[.]", "(.)", "[dot]", " dot "]))
+    digits = _digits(s)
+    if kind == 2:
+        return ".".join(digits[k : k + 4] for k in range(0, len(digits), 4))
+    tail, at = digits[-10:], pick([1, 2, 3])
+    return pick([f"00{digits[:at]} {digits[at:]}", f"00{digits[:at]} {digits[at : at + 3]} {digits[at + 3 :]}", f"({tail[:3]}) {tail[3:6]}-{tail[6:]}", f"{tail[:3]}-{tail[3:6]}-{tail[6:]}", f"{tail[:3]}.{tail[3:6]}.{tail[6:]}"])
+
+
+def document_examples(texts: list[str], seed: int = 13) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of rewritten base spans where they stand, and of all other candidates."""
+    rng = np.random.default_rng(seed)
+    pick = lambda xs: xs[int(rng.integers(len(xs)))]
+    rows: list[tuple[list[float], float]] = []
+    for text in texts:
+        base = base_spans(text)
+        for kind, a, b in base:
+            before, after = text[max(0, a - 2 * CONTEXT) : a], text[b : b + 2 * CONTEXT]
+            for _ in range(REWRITES):
+                new, start = rewritten(kind, text[a:b], pick), len(before)
+                window = f"{before}{new}{after}"
+                rows += [(features(window, *c), 1.0) for c in candidates(window) if c[0] == kind and c[1] < start + len(new) and c[2] > start]
+        rows += [(features(text, *c), 0.0) for c in candidates(text) if not any(c[1] < b and c[2] > a for _, a, b in base)]
+    chosen: list[tuple[list[float], float]] = []
+    for kind in range(len(KINDS)):
+        for label in (0.0, 1.0):
+            mine = [r for r in rows if r[0][0] == kind and r[1] == label]
+            chosen += [mine[k] for k in rng.integers(len(mine), size=EXAMPLES // len(KINDS))] if mine else []
+    width = len(features("", 0, 0, 0))
+    return np.array([r[0] for r in chosen]).reshape(len(chosen), width), np.array([r[1] for r in chosen])
+
+
+def _trained(x: np.ndarray, y: np.ndarray, kept_x: np.ndarray, kept_y: np.ndarray) -> tuple[Boosted, np.ndarray]:
+    """The trees and for each kind the least threshold, LEAST or more, of PRECISION on examples kept out of training."""
+    trees = Boosted().fit(x, y)
     thresholds = np.ones(len(KINDS))
     for kind in range(len(KINDS)):
-        mine = cut + np.flatnonzero(x[cut:, 0] == kind)
-        p, truth = trees.probability(x[mine]), y[mine]
+        mine = np.flatnonzero(kept_x[:, 0] == kind)
+        p, truth = trees.probability(kept_x[mine]), kept_y[mine]
         order = np.argsort(-p, kind="stable")
         precise = np.cumsum(truth[order]) / np.arange(1, len(order) + 1)
         last = np.append(p[order][1:] < p[order][:-1], True)  # equal scores go together
@@ -217,6 +267,29 @@ def model() -> tuple[Boosted, np.ndarray]:
     return trees, thresholds
 
 
+def _split() -> tuple[np.ndarray, ...]:
+    x, y = _examples()
+    cut = len(x) * 2 // 3
+    return x[:cut], y[:cut], x[cut:], y[cut:]
+
+
+@lru_cache
+def model() -> tuple[Boosted, np.ndarray]:
+    """Trees and thresholds from built examples alone."""
+    return _trained(*_split())
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[Boosted, np.ndarray]:
+    """Trees and thresholds from built examples and from a bounded hash sample of docs(doc_id, text)."""
+    texts = docs.where("text is not null").select(F.xxhash64("doc_id", F.lit(29)).alias("h"), F.substring(F.col("text").cast("string"), 1, SAMPLE_CHARS).alias("text"))
+    share = min(1.0, sample / max(1, docs.count()))
+    chosen = texts.where(F.pmod("h", F.lit(1_000_003)) < share * 1_000_003)
+    rows = [r["text"] for r in chosen.orderBy("h", "text").limit(2 * sample).collect()]
+    kept = document_examples(rows[::3], 19)
+    mine = document_examples([t for k, t in enumerate(rows) if k % 3])
+    return _trained(*map(np.concatenate, zip(_split(), (*mine, *kept), strict=True)))
+
+
 def added_spans(text: str, base: list[tuple[int, int, int]], trees: Boosted, thresholds: np.ndarray) -> list[tuple[int, int, int]]:
     """Candidates that the trees select, best first, none over a base span or over a better one."""
     found = candidates(text)
@@ -239,10 +312,13 @@ def written(spans: list[tuple[int, int, int]], kinds: tuple[str, ...]) -> str:
     return ",".join(f"{kinds[k]}:{a}:{b}" for k, a, b in spans)
 
 
-def detect(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) for each row of docs(doc_id, text)."""
+def detect(docs: DataFrame, fitted: tuple[Boosted, np.ndarray] | None = None) -> DataFrame:
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) for each row of docs(doc_id, text).
+
+    fitted: what `fit` gives; without it, the trees of built examples.
+    """
     texts = modest_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    trees, thresholds = model()
+    trees, thresholds = fitted or model()
 
     def run(batches):
         for batch in batches:

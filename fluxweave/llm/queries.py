@@ -36,7 +36,8 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.detect(_documents(spark, sf_dir))
+    docs = _documents(spark, sf_dir)
+    return pii.detect(docs, pii.fit(docs))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -346,6 +346,28 @@ def test_pii_base_spans_and_additions(spark, docs, plain, nothing):
     assert pii.detect(nothing).count() == 0
 
 
+def test_pii_written_another_way_is_found_in_documents(spark):
+    """Rewritten spans planted into documents that were not trained on, without any cue word; the rest stays alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    trees, thresholds = pii.fit(docs.where("doc_id % 2 = 0"))
+    texts = [r.text for r in docs.where("doc_id % 2 = 1 and text is not null and length(text) > 200").orderBy("doc_id").limit(240).collect()]
+    clean = [(t, pii.added_spans(t, pii.base_spans(t), trees, thresholds)) for t in texts]
+    wrong = sum(len(x) for _, x in clean)
+    rng = random.Random(3)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    card = lambda body: body + next(c for c in "0123456789" if pii.luhn(body + c))
+    plain = [lambda: f"k{digits(3)}@mail{digits(2)}.example.org", lambda: ".".join(str(rng.randrange(1, 256)) for _ in range(4)), lambda: card("4" + digits(14)), lambda: "+49" + digits(10)]
+    hit = Counter()
+    for k, text in enumerate(texts):
+        kind, at = k % 4, text.index(" ", len(text) // 2) + 1 if " " in text[len(text) // 2 :] else 0
+        new = pii.rewritten(kind, plain[kind](), rng.choice)
+        planted = f"{text[:at]}{new} {text[at:]}"
+        found = pii.added_spans(planted, pii.base_spans(planted), trees, thresholds)
+        hit[kind] += any(a < at + len(new) and b > at for _, a, b in found)
+    recall = [hit[k] / (len(texts) // 4) for k in range(4)]
+    assert min(recall) >= 0.9 and wrong <= 0.05 * sum(hit.values()), (recall, wrong)
+
+
 def test_secrets(spark, docs, plain, nothing):
     got = {r.doc_id: r for r in secrets.scan(docs).collect()}
     for i, t in plain:
