@@ -113,9 +113,9 @@ def with_next(docs: DataFrame, ranges: int) -> DataFrame:
     followed by the first of the next range, so each range's first document is also sent to
     the range before it; those are one small table with a row for each range.
     """
-    bits = max(1, ranges - 1).bit_length()
+    bits = (4 * ranges - 1).bit_length()
     own = (
-        _in_ranges(docs, ranges)
+        _in_ranges(docs, 4 * ranges)  # several for each task, so that tasks are even
         .withColumn("unnamed", F.col("doc_id").isNull())
         .withColumn("tie", F.xxhash64("text"))
         .withColumn("part", F.struct("low", F.when(F.col("unnamed"), F.shiftright("tie", 64 - bits)).otherwise(F.lit(-LAST)).alias("sub")))
