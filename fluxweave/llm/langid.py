@@ -8,7 +8,7 @@ are covered, too. Temperature and rejection threshold are calibrated on sampled
 that training does not see.
 
 The training sample is bounded: SAMPLE documents of each language at most (on average),
-chosen by a hash of doc_id, none over SAMPLE_CHARS. Prediction reads whole texts. As the model is
+chosen by a hash of doc_id; a longer one than SAMPLE_CHARS is taken in pieces. Prediction reads whole texts. As the model is
 linear, it is folded into one table of BUCKETS x languages numbers for prediction.
 
 A null text or one without a letter is `und` with score 0; it is rejected. Without any
@@ -88,7 +88,7 @@ class Model:
             if hi - lo > 1:
                 text = b" ".join(text[a - offsets[lo] : b - offsets[lo]] for a, b in zip(offsets[lo:hi], offsets[lo + 1 : hi + 1], strict=True))
             text = b" " + text + b" "
-            begin = np.append(0, np.cumsum(lengths + 1))[:-1]
+            begin = np.append(0, np.cumsum(lengths + 1))[:-1] + 1  # a text's grams end in it or at the blank behind it
             total = np.zeros((hi - lo, len(self.languages)))
             count = np.zeros(hi - lo)
             for bucket, ok in grams(text):
@@ -189,12 +189,10 @@ def fit(docs: DataFrame, lang: str = "lang", sample: int = SAMPLE) -> Model:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred, score and rejected; the prediction sees the text only."""
+    """docs with lang_pred, score and rejected, in place of columns of these names; the prediction sees the text only."""
     if "text" not in docs.columns:
         raise ValueError("docs has no column text")
-    clash = [c for c in ("lang_pred", "score", "rejected") if c in docs.columns]
-    if clash:
-        raise ValueError(f"columns {clash} are there already")
+    docs = docs.drop("lang_pred", "score", "rejected")
     languages = np.array(model.languages, object)
 
     def run(batches):

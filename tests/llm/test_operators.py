@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tests_support import near_groups
 from tokenizers import Tokenizer
 
@@ -96,6 +97,26 @@ def test_language_id_on_held_out_texts(spark, nothing, docs):
     assert langid.predict(nothing.select("doc_id", "text"), model).count() == 0
 
 
+def test_language_logits_are_the_mean_over_grams(spark):
+    """Against a loop over each text's grams; rows of one batch do not see each other."""
+    rng = np.random.default_rng(3)
+    model = langid.Model(["aa", "bb"], np.vstack([rng.normal(size=(1 << langid.BUCKETS_LOG2, 2)), np.zeros((1, 2))]), np.array([0.1, -0.2]))
+    texts = ["Abc de", "", None, "x", "  two  words ", "12 3!", "Über été", "a\nbc-d"]
+    for text, got in zip(texts, model.logits(pa.array(texts, pa.string())), strict=True):
+        data = b" " + (text or "").lower().encode().translate(langid._LETTERS) + b" "
+        rows = []
+        for i in range(1, len(data)):
+            for n in range(1, 5):
+                g = data[i - n + 1 : i + 1] if i - n + 1 >= 0 else b""
+                if len(g) == n and b" " not in g[1:-1] and (g[0] != 32 or g[-1] != 32) and g != b" ":
+                    key = sum(c << 8 * j for j, c in enumerate(reversed(g)))
+                    rows.append(key * int(langid._ODD[n - 1]) % 2**64 >> 64 - langid.BUCKETS_LOG2)
+        want = model.table[rows].sum(axis=0) / max(1, len(rows)) + model.bias
+        assert np.allclose(got, want)
+    table = spark.createDataFrame([(1, "x", 9.0)], "doc_id long, text string, score double")
+    assert langid.predict(table, model).columns == ["doc_id", "text", "lang_pred", "score", "rejected"]
+
+
 def test_language_of_long_documents_only_is_learned(spark, monkeypatch):
     monkeypatch.setattr(langid, "SAMPLE_CHARS", 400)
     words = {"aa": "kala mora suve tipo lano", "bb": "grust zweck pfahl schrum knopf"}

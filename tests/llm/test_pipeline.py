@@ -35,3 +35,26 @@ def test_stages_keep_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, SF)
         assert docs.columns == corpus_pipeline.COLUMNS
+
+
+def test_stages_on_awkward_rows(spark, docs, nothing, item, tmp_path):
+    """Null ids and texts, empty and long texts, repeated rows, extra columns, empty tables."""
+    sf = f"file://{tmp_path}"
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    odd = spark.createDataFrame([(None, None, "en", "s", 1), (None, item, None, None, 2), (9001, None, "fr", "s", None), (9002, "key", "fr", "s", 3), (9002, "key", "fr", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")
+    given = docs.unionByName(odd, allowMissingColumns=True).cache()
+    n = given.count()
+    stages = dict(corpus_pipeline.STAGES)
+    for stage in stages.values():
+        assert stage(spark, nothing, sf).count() == 0
+    spoken = stages["language_id"](spark, given, sf)
+    assert spoken.columns == corpus_pipeline.COLUMNS and spoken.where("text is null or text = ''").count() == 0 and spoken.count() > n / 2
+    kept = stages["near_dedup"](spark, given, sf)
+    assert kept.columns == corpus_pipeline.COLUMNS and kept.where("doc_id = 9002").count() == 1 and kept.where("doc_id = 9001").count() == 1
+    clean = stages["decontamination"](spark, given, sf)
+    assert clean.columns == corpus_pipeline.COLUMNS and clean.where("doc_id is null").count() == 1 and clean.where("doc_id = 9002").count() == 2
+    safe = stages["secret_scan"](spark, given, sf)
+    assert safe.columns == corpus_pipeline.COLUMNS and safe.count() == n
+    assert safe.where("text is null and n_chars is null").count() == given.where("text is null").count() and safe.where("n_chars <> length(text)").count() == 0
+    packed = stages["packing"](spark, given, sf)
+    assert packed.where("start = 0").count() == n and packed.where("doc_id is null").count() == 2
