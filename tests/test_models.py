@@ -262,6 +262,40 @@ def test_finder_recovers_injected_sources(spark, profile, tmp_path):
         assert tables["SOURCES"].num_rows == 3 and tables["ISLANDS"].num_rows == 2
 
 
+def test_finder_steps_on_an_extended_source(spark):
+    """Protected noise, persistent scales, hierarchy, published and source support: what each adds, against plain sets."""
+    from pyspark.sql import functions as F
+
+    stars = [{"x": 70, "y": 60, "peak": 14, "sigma_1": 7, "sigma_2": 6, "angle": 0}, {"x": 64, "y": 58, "peak": 30, "sigma_1": 2, "sigma_2": 1.6, "angle": 20}, {"x": 78, "y": 63, "peak": 25, "sigma_1": 2, "sigma_2": 1.6, "angle": 20}]
+    image, _ = _found(spark, "continuum", sources=stars)
+    config = finder.FinderConfig(coarse=(32, 16), bright_sigma=1e9)
+    mean = lambda profile: finder.estimate_noise(image, finder.FinderConfig(profile=profile, coarse=(32, 16), bright_sigma=1e9)).where("x between 50 and 90 and y between 40 and 80").agg(F.avg("rms")).first()[0]
+    assert mean("continuum") < mean("compact")
+    plane = image.pixels.select("y", "x", "value", F.lit(0.0).alias("background"), F.lit(1.0).alias("rms"))
+    found, scales = finder.detect(plane, image, config)
+    at: dict = {}
+    for r in scales.collect():
+        at.setdefault((r.scale, r.label), set()).add((r.y, r.x))
+    assert at and all(any(abs(s - t) == 1 and p & q for (t, _), q in at.items()) for (s, _), p in at.items())
+    components, regions = finder.measure_components(found, image, config)
+    named = regions.join(components.select("label", "region", "component"), ["label", "region"])
+    groups = {r.component: r.group for r in finder.hierarchy(named, scales).collect()}
+    assert len(groups) >= 2 and len(set(groups.values())) == 1
+    original = {(r.y, r.x): r.label for r in found.collect()}
+    published = {(r.y, r.x): r.label for r in finder.published_support(found, scales, config).collect()}
+    assert published and set(published.values()) == set(original.values())
+    for label in set(published.values()):
+        mask = np.zeros(image.shape, bool)
+        mask[tuple(np.array([k for k, v in published.items() if v == label]).T)] = True
+        assert kernels.label_plane(mask).max() == 1
+    owned = found.select("y", "x", "label", "residual", "rms")
+    grown = {(r.y, r.x) for r in finder.source_support(owned, scales, plane, 6.0).collect()}
+    every = set().union(*at.values())
+    free = every - set(original)
+    near = {(y, x) for y, x in free if min((y - b) ** 2 + (x - a) ** 2 for b, a in original) <= 36}
+    assert near and grown == set(original) | near
+
+
 def test_finder_on_an_empty_and_an_invalid_image(spark):
     image, _ = _found(spark, "compact", sources=[])
     quiet = finder.find_sources(image, finder.FinderConfig(profile="compact", detection_sigma=8.0))
