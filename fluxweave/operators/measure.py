@@ -157,12 +157,12 @@ def publishable(fitted: Column, aperture_flux: Column, require_signed: bool = Tr
 
 
 def compatibility_view(sources: DataFrame, islands: DataFrame) -> DataFrame:
-    """Eight columns of the workflow's catalogue: sources joined to their islands, numbered from 0 by identifier.
+    """Eight columns of the workflow's catalogue: sources with their islands' flux (null without one), numbered from 0 by identifier.
 
     sources(source_id, island_id, ra, dec, ra_error, dec_error, flux, full_major, axis_major, flags).
     """
     w = Window.orderBy("source_id")
-    return sources.join(islands.select("island_id", F.col("flux").alias("island_flux")), "island_id").select(
+    return sources.join(islands.select("island_id", F.col("flux").alias("island_flux")), "island_id", "left").select(
         (F.row_number().over(w) - 1).cast("int").alias("Source_id"), F.col("ra").alias("RA"), F.col("dec").alias("DEC"), F.col("island_flux").alias("Isl_Total_flux"), F.col("flux").alias("Total_flux"),
         compatibility_major(F.col("full_major"), F.col("axis_major"), F.col("flags")).alias("DC_Maj"), F.col("ra_error").alias("E_RA"), F.col("dec_error").alias("E_DEC"),
     )

@@ -246,6 +246,7 @@ def find_sources(image: Image, config: FinderConfig | None = None) -> Found:
     usable = not plane.where("rms > 0").limit(1).isEmpty()
     if config.background == "zero":
         plane = plane.withColumn("background", F.when(F.col("background").isNotNull(), F.lit(0.0)))
+    noises, plane = plane, plane if usable else plane.where("false")  # nothing can be found without noise
     found, scales = detect(plane, image, config)
     area = S.BEAM_AREA * image.beam[0] * image.beam[1]
     components, regions = measure_components(found, image, config)
@@ -285,7 +286,7 @@ def find_sources(image: Image, config: FinderConfig | None = None) -> Found:
     if image.wcs is not None:
         sources = sources.withColumn("_p", sky_position(image.wcs, F.col("centroid_x"), F.col("centroid_y"))).withColumn("ra", F.col("_p.ra")).withColumn("dec", F.col("_p.dec")).drop("_p")
     islands = measure.island_rows(found.select("y", "x", "label", "residual", "rms"), area)
-    return Found(plane, found, islands, rows, sources, published_support(found, scales, config), scales, proposed, usable, {"shape": list(image.shape), "config": asdict(config)})
+    return Found(noises, found, islands, rows, sources, published_support(found, scales, config), scales, proposed, usable, {"shape": list(image.shape), "config": asdict(config)})
 
 
 def open_fits(spark: SparkSession, path: str, **supplied) -> Image:

@@ -42,7 +42,7 @@ def least_island_pixels(beam: tuple[float, float, float]) -> int:
 def catalogue_view(found: finder.Found) -> DataFrame:
     """The eight columns the workflow reads."""
     by_source = found.components.groupBy("source_id").agg(F.min("label").alias("label"), F.max("cx_error").alias("_ex"), F.max("cy_error").alias("_ey"))
-    joined = found.sources.drop("label").join(by_source, "source_id").join(found.islands.select("label", "island_id"), "label")
+    joined = found.sources.drop("label").join(by_source, "source_id", "left").join(found.islands.select("label", "island_id"), "label", "left")
     ready = joined.select("source_id", "island_id", "ra", "dec", F.col("_ex").alias("ra_error"), F.col("_ey").alias("dec_error"), "flux", F.col("major").alias("full_major"), F.lit(None).cast("double").alias("axis_major"), "flags")
     return measure.compatibility_view(ready, found.islands)
 
