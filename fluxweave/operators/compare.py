@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from heapq import heappop, heappush
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluxweave.functions.scalars import haversine
 from fluxweave.operators.graph import connected_components
+from fluxweave.runtime import cut, forget, partitions
 
 
 def match_candidates(a: DataFrame, b: DataFrame, gate: float) -> DataFrame:
@@ -74,44 +78,115 @@ def assign(cost: np.ndarray) -> np.ndarray:
     return out
 
 
-def _most_then_least(pdf: pd.DataFrame, weight) -> pd.DataFrame:
-    """Most pairs first, then the least total weight, within one component of candidates."""
-    a, b = np.unique(pdf["a_id"]), np.unique(pdf["b_id"])
-    w = weight(pdf)
-    n = max(len(a), len(b))
-    cost = np.full((n, n), (n + 1) * (w.max() - min(0.0, w.min()) + 1.0))
-    cost[np.searchsorted(a, pdf["a_id"]), np.searchsorted(b, pdf["b_id"])] = w
-    chosen = assign(cost)
-    keep = [(a[i], b[j]) for i, j in enumerate(chosen[: len(a)]) if j < len(b)]
-    return pdf.merge(pd.DataFrame(keep, columns=["a_id", "b_id"]), on=["a_id", "b_id"])
+def assign_edges(left: Sequence[int], right: Sequence[int], weight: Sequence[float]) -> list[int]:
+    """Index of the edge chosen for each left node 0..n-1, or -1: the most nodes matched, then the least total weight.
 
+    Shortest augmenting paths over the edges alone. Staying unmatched costs (1, 0) and an edge
+    (0, weight), compared in this order, so no large number takes digits from the weights.
+    """
+    n = max(left, default=-1) + 1
+    near: list[list[int]] = [[] for _ in range(n)]
+    for k, i in enumerate(left):
+        near[i].append(k)
+    u, v = [(0, 0.0)] * n, {}
+    owner: dict[int, int] = {}  # of right nodes; ~i stands for i being unmatched
+    chosen, place = [-1] * n, [None] * n
+    for root in range(n):
+        dist, back, done, heap = {}, {}, {}, []
+        at, (high, low) = root, (0, 0.0)
+        while True:
+            uh, ul = u[at]
+            for j, one, w, k in [*((right[k], 0, weight[k], k) for k in near[at]), (~at, 1, 0.0, -1)]:
+                if j not in done:
+                    vh, vl = v.get(j, (0, 0.0))
+                    d = (high + one - uh - vh, low + w - ul - vl)
+                    if j not in dist or d < dist[j]:
+                        dist[j], back[j] = d, (at, k)
+                        heappush(heap, (d, j))
+            d, j = heappop(heap)
+            while j in done:
+                d, j = heappop(heap)
+            if j not in owner:
+                break
+            done[j] = d
+            at, (high, low) = owner[j], d
+        for r, (h, w) in done.items():
+            (vh, vl), (uh, ul) = v.get(r, (0, 0.0)), u[owner[r]]
+            v[r], u[owner[r]] = (vh + h - d[0], vl + w - d[1]), (uh + d[0] - h, ul + d[1] - w)
+        u[root] = (u[root][0] + d[0], u[root][1] + d[1])
+        while j is not None:
+            i, chosen_edge = back[j]
+            owner[j], chosen[i] = i, chosen_edge
+            j, place[i] = place[i], j
+    return chosen
+
+
+def _solve_clusters(pdf: pd.DataFrame, left: str, right: str) -> pd.DataFrame:
+    """Each cluster's own matches; a left node without one keeps its row, with nulls."""
+    pdf = pdf.sort_values(["_c", left, "_w", right], ignore_index=True)
+    keep, free = [], []
+    code_l, code_r, w = pd.factorize(pdf[left])[0], pd.factorize(pdf[right])[0], pdf["_w"].tolist()
+    first = np.flatnonzero(np.append(True, pdf["_c"].to_numpy()[1:] != pdf["_c"].to_numpy()[:-1])).tolist()
+    for lo, hi in zip(first, [*first[1:], len(pdf)], strict=True):
+        mine = (code_l[lo:hi] - code_l[lo]).tolist()
+        for i, k in enumerate(assign_edges(mine, code_r[lo:hi].tolist(), w[lo:hi])):
+            if k >= 0:
+                keep.append(lo + k)
+            else:
+                free.append(lo + mine.index(i))
+    out = pdf.iloc[keep + free].drop(columns="_k").astype(object)  # so that ids stay whole numbers beside nulls
+    out.iloc[len(keep) :, [k for k, c in enumerate(out.columns) if c not in ("_c", left)]] = None
+    return out
 
-def _in_components(pairs: DataFrame) -> DataFrame:
-    side = lambda s, c: F.struct(F.lit(s).alias("side"), F.col(c).alias("id"))
-    groups = connected_components(pairs.select(side("a", "a_id").alias("src"), side("b", "b_id").alias("dst")))
-    return pairs.join(groups.where("node.side = 'a'").select(F.col("node.id").alias("a_id"), F.col("component").alias("_g")), "a_id")
 
+def _one_to_one(pairs: DataFrame, weight: Column) -> DataFrame:
+    """One-to-one rows of pairs(a_id, b_id, ...): the most pairs, then the least total weight.
 
-def assign_matches(candidates: DataFrame) -> DataFrame:
-    """One-to-one matches: the most pairs, then the least total separation, then the closest fluxes.
+    Every id of the side with fewer takes its best partner. Those that want the same partner
+    become one cluster, which is solved with all the partners its members know, whoever else
+    wants them; clusters that clash are merged and solved again until none do. What each cluster takes is the
+    best it could have, so the whole, once nobody clashes, is the best there is. A cluster grows only where ids
+    compete, and is the unit of work: at worst it is a component of the pairs, held as edges
+    in one task. Among m members only the m best partners of each can matter, as the others take m - 1 at most.
 
-    Components of the candidate graph are independent, so each is solved alone.
+    The pairs are read once a round, restricted to the members at hand.
     """
+    spark = pairs.sparkSession
+    sizes = pairs.agg(F.approx_count_distinct("a_id").alias("a"), F.approx_count_distinct("b_id").alias("b")).first()
+    left, right = ("b_id", "a_id") if sizes["b"] <= sizes["a"] else ("a_id", "b_id")  # either is right; fewer clash less
+    rest = [c for c in pairs.columns if c not in (left, right)]
+    edges = pairs.withColumn("_w", weight)
+    best = edges.groupBy(left).agg(F.min(F.struct("_w", right, *rest)).alias("m"))
+    state = cut(best.select(F.col(left).alias("_c"), left, "m.*"), "matches")
+    types = ", ".join(f"`{n}` {t}" for n, t in state.dtypes)
+    while True:
+        wanted = state.where(F.col(right).isNotNull()).groupBy(right).agg(F.min("_c").alias("_low"), F.count("*").alias("_n")).where("_n > 1")
+        clashes = cut(state.join(wanted.hint("merge"), right).select("_low", "_c"), "clashes")
+        if clashes.isEmpty():
+            return state.where(F.col(right).isNotNull()).select(pairs.columns)
+        merged = cut(connected_components(clashes, "_low", "_c").select(F.col("node").alias("_c"), "component"), "merged")
+        moved = state.join(merged.hint("merge"), "_c").select(left, F.col("component").alias("_c"))
+        members = cut(moved.join(moved.groupBy("_c").agg(F.count("*").alias("_m")).hint("merge"), "_c"), "members")
+        known = edges.join(members.select(left).hint("merge"), left, "left_semi").join(members.hint("merge"), left)
+        rank = F.row_number().over(Window.partitionBy(left).orderBy("_w", right))
+        known = known.withColumn("_rank", rank).where("_rank <= _m").select(*state.columns, F.pmod(F.xxhash64("_c"), F.lit(4 * partitions(spark))).alias("_k"))
+        solved = known.groupBy("_k").applyInPandas(lambda pdf: _solve_clusters(pdf, left, right), types)  # noqa: B023 - run within the round
+        after = cut(state.join(merged.hint("merge"), "_c", "left_anti").select(state.columns).unionByName(solved), "matches")
+        for old in (state, clashes, merged, members):
+            forget(old)
+        state = after
 
-    def weight(pdf: pd.DataFrame) -> np.ndarray:
-        apart = np.abs(pdf["a_flux"] - pdf["b_flux"]) / np.maximum(np.abs(pdf["a_flux"]), 1e-300)
-        return (pdf["separation"] + 1e-9 * apart / (1 + apart)).to_numpy(np.float64)
 
-    grouped = _in_components(candidates).select("_g", "a_id", "b_id", "separation", "a_flux", "b_flux")
-    types = ", ".join(f"{n} {t}" for n, t in grouped.drop("_g").dtypes)
-    return grouped.groupBy("_g").applyInPandas(lambda pdf: _most_then_least(pdf.drop(columns="_g"), weight), types)
+def assign_matches(candidates: DataFrame) -> DataFrame:
+    """One-to-one matches: the most pairs, then the least total separation, then the closest fluxes."""
+    apart = F.abs(F.col("a_flux") - F.col("b_flux")) / F.greatest(F.abs("a_flux"), F.lit(1e-300))
+    return _one_to_one(candidates, F.col("separation") + 1e-9 * F.coalesce(F.nanvl(apart / (1 + apart), F.lit(1.0)), F.lit(1.0)))
 
 
 def assign_overlaps(overlaps: DataFrame) -> DataFrame:
     """One-to-one label matches: the most pairs, then the most shared pixels. overlaps(a_label, b_label, n_pixels)."""
-    pairs = overlaps.select(F.col("a_label").alias("a_id"), F.col("b_label").alias("b_id"), F.col("n_pixels").cast("long"))
-    grouped = _in_components(pairs).select("_g", "a_id", "b_id", "n_pixels")
-    out = grouped.groupBy("_g").applyInPandas(lambda pdf: _most_then_least(pdf.drop(columns="_g"), lambda p: -p["n_pixels"].to_numpy(np.float64)), "a_id long, b_id long, n_pixels long")
+    pairs = overlaps.select(F.col("a_label").alias("a_id"), F.col("b_label").alias("b_id"), F.col("n_pixels").cast("long").alias("n_pixels"))
+    out = _one_to_one(cut(pairs, "overlaps"), -F.col("n_pixels").cast("double"))
     return out.select(F.col("a_id").alias("a_label"), F.col("b_id").alias("b_label"), "n_pixels")
 
 

@@ -162,6 +162,56 @@ def test_assignment_is_the_cheapest(n, seed):
     assert np.isclose(cost[np.arange(n), chosen].sum(), min(sum(cost[i, p[i]] for i in range(n)) for p in permutations(range(n))))
 
 
+def _least(edges):
+    """Most pairs, then the least total, by trying everything: edges {(left, right): weight}."""
+    if not edges:
+        return 0, 0.0
+    i = min(a for a, _ in edges)
+    ways = [_least({e: w for e, w in edges.items() if e[0] != i})]
+    for (a, j), w in edges.items():
+        if a == i:
+            n, total = _least({e: x for e, x in edges.items() if e[0] != i and e[1] != j})
+            ways.append((n - 1, total + w))
+    return min(ways)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 5), st.integers(1, 5), st.integers(0, 2**31))
+def test_assignment_along_edges_has_most_pairs_then_least_weight(a, b, seed):
+    g = np.random.default_rng(seed)
+    edges = {(i, j): round(float(g.uniform(-1, 1)), 1) for i in range(a) for j in range(b) if j == i % b or g.random() < 0.4}
+    chosen = compare.assign_edges([i for i, _ in edges], [j for _, j in edges], list(edges.values()))
+    taken = [list(edges)[k] for k in chosen if k >= 0]
+    assert all(k < 0 or list(edges)[k][0] == i for i, k in enumerate(chosen)) and len({j for _, j in taken}) == len(taken)
+    n, total = _least(edges)
+    assert -len(taken) == n and np.isclose(sum(edges[e] for e in taken), total)
+
+
+def test_matches_of_one_crowded_component_are_the_cheapest(spark):
+    """A short side of large ids that compete, and a chain too long for a square matrix of its component."""
+    g, big = np.random.default_rng(5), 2**60
+    crowd = {(i, j): float(g.random()) for i in range(40) for j in range(30) if (i + j) % 30 < 6}
+    rows = [(big + i, big + j, w, 1.0, 1.0) for (i, j), w in crowd.items()]
+    chain = 40_000
+    rows += [(i, i, 0.5, 1.0, 1.0) for i in range(chain)] + [(i, i + 1, 0.6, 1.0, 1.0) for i in range(chain - 1)]
+    got = compare.assign_matches(spark.createDataFrame(rows, "a_id long, b_id long, separation double, a_flux double, b_flux double")).toPandas()
+    cost = np.full((40, 40), 1000.0)
+    for (i, j), w in crowd.items():
+        cost[i, j] = w
+    best = [w for w in cost[np.arange(40), compare.assign(cost)] if w < 1000]
+    mine = got[got["a_id"] >= big]
+    assert mine["a_id"].is_unique and mine["b_id"].is_unique and len(mine) == len(best) and np.isclose(mine["separation"].sum(), sum(best))
+    assert all((a - big, b - big) in crowd for a, b in zip(mine["a_id"], mine["b_id"], strict=True))
+    assert len(got) == len(mine) + chain and (got["separation"][got["a_id"] < big] == 0.5).all()
+
+
+def test_flux_breaks_ties_of_separation_and_may_be_missing(spark):
+    rows = [(1, 1, 0.5, 2.0, 2.0), (1, 2, 0.5, 2.0, 9.0), (2, 1, 0.5, 9.0, 2.0), (2, 2, 0.5, 9.0, 9.0), (3, 3, 0.1, None, 1.0)]
+    pairs = spark.createDataFrame(rows, "a_id long, b_id long, separation double, a_flux double, b_flux double")
+    assert sorted((r["a_id"], r["b_id"]) for r in compare.assign_matches(pairs).collect()) == [(1, 1), (2, 2), (3, 3)]
+    assert compare.assign_matches(pairs.where("false")).count() == 0
+
+
 @pytest.mark.parametrize("kind", ["TAN", "SIN"])
 def test_wcs_round_trip_and_area(kind):
     wcs = Wcs(HEADER | {"CTYPE1": f"RA---{kind}", "CTYPE2": f"DEC--{kind}", "CROTA2": 12.0})
