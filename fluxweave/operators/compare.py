@@ -20,7 +20,8 @@ def match_candidates(a: DataFrame, b: DataFrame, gate: float) -> DataFrame:
 
     Declination bands and right-ascension cells as wide as the gate at the band's highest
     latitude make an equi-join; the exact separation decides. Near a pole the cells widen
-    to the whole circle.
+    to the whole circle. Both sides grow, so they are merged: a side that looks small after
+    compression would not fit the driver as a broadcast.
     """
     band = lambda c: F.floor((F.col(c) + 90) / gate)
     top = lambda k: F.least(F.greatest(F.abs(k * gate - 90), F.abs((k + 1) * gate - 90)) + gate, F.lit(90.0))
@@ -38,14 +39,19 @@ def match_candidates(a: DataFrame, b: DataFrame, gate: float) -> DataFrame:
     right = right.withColumn("band", band("b_dec")).withColumn("_n", cells(F.col("band")))
     right = right.withColumn("cell", F.least(F.floor(F.pmod("b_ra", F.lit(360.0)) / 360 * F.col("_n")), F.col("_n") - 1)).drop("_n")
     apart = haversine(F.col("a_ra"), F.col("a_dec"), F.col("b_ra"), F.col("b_dec"))
-    return left.drop("_n").join(right, ["band", "cell"]).withColumn("separation", apart).where(F.col("separation") <= gate).select("a_id", "b_id", "separation", "a_flux", "b_flux")
+    return left.drop("_n").join(right.hint("merge"), ["band", "cell"]).withColumn("separation", apart).where(F.col("separation") <= gate).select("a_id", "b_id", "separation", "a_flux", "b_flux")
 
 
-def mutual_nearest(candidates: DataFrame) -> DataFrame:
-    """Pairs that are each other's nearest (ties to the smaller id)."""
+def mutual_pairs(candidates: DataFrame) -> DataFrame:
+    """(a_id, b_id) that are each other's nearest (ties to the smaller id): one row for each id is joined, not each candidate."""
     best_a = candidates.groupBy("a_id").agg(F.min(F.struct("separation", "b_id")).alias("m")).select("a_id", F.col("m.b_id").alias("b_id"))
-    best_b = candidates.groupBy("b_id").agg(F.min(F.struct("separation", "a_id")).alias("m")).select("b_id", F.col("m.a_id").alias("a_id"))
-    return candidates.join(best_a, ["a_id", "b_id"], "left_semi").join(best_b, ["a_id", "b_id"], "left_semi")
+    best_b = candidates.groupBy("b_id").agg(F.min(F.struct("separation", "a_id")).alias("m")).select(F.col("m.a_id").alias("a_id"), "b_id")
+    return best_a.join(best_b.hint("merge"), ["a_id", "b_id"])
+
+
+def mutual_nearest(candidates: DataFrame) -> DataFrame:
+    """The candidates of mutual pairs, with all their columns."""
+    return candidates.join(mutual_pairs(candidates).hint("merge"), ["a_id", "b_id"], "left_semi")
 
 
 def assign(cost: np.ndarray) -> np.ndarray:

@@ -414,7 +414,7 @@ def haversine_match_gate(spark, sf_dir):
 
 @query("J31 mutual nearest", f"{_CAND}, na AS (SELECT a_id, arg_min(b_id, (separation, b_id)) AS b_id FROM cand GROUP BY 1), nb AS (SELECT b_id, arg_min(a_id, (separation, a_id)) AS a_id FROM cand GROUP BY 1) SELECT a_id, b_id FROM na JOIN nb USING (a_id, b_id)")
 def mutual_nearest_match(spark, sf_dir):
-    return compare.mutual_nearest(candidates(spark, sf_dir)).select("a_id", "b_id")
+    return compare.mutual_pairs(candidates(spark, sf_dir))
 
 
 @query("J31 assignment")

@@ -212,6 +212,14 @@ def test_flux_breaks_ties_of_separation_and_may_be_missing(spark):
     assert compare.assign_matches(pairs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("name", ["mutual_nearest_match"])
+def test_matching_sends_no_growing_table_to_the_driver(spark, name):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("kind", ["TAN", "SIN"])
 def test_wcs_round_trip_and_area(kind):
     wcs = Wcs(HEADER | {"CTYPE1": f"RA---{kind}", "CTYPE2": f"DEC--{kind}", "CROTA2": 12.0})
