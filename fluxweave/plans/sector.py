@@ -90,8 +90,9 @@ def compare_products(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def compare_cuts(candidate: DataFrame, reference: DataFrame, radius_degrees: float) -> DataFrame:
     """How two catalogues' cuts agree over mutual matches: (id, ra, dec, flux, kept) each; one row."""
-    pairs = compare.mutual_nearest(compare.match_candidates(candidate, reference, radius_degrees))
-    both = pairs.join(candidate.select(F.col("id").alias("a_id"), F.col("kept").alias("_a")), "a_id").join(reference.select(F.col("id").alias("b_id"), F.col("kept").alias("_b")), "b_id")
+    pairs = compare.mutual_pairs(compare.match_candidates(candidate, reference, radius_degrees))
+    side = lambda d, p: d.select(F.col("id").alias(f"{p}_id"), F.col("kept").alias(f"_{p}")).hint("merge")  # noqa: E731 - both grow
+    both = pairs.join(side(candidate, "a"), "a_id").join(side(reference, "b"), "b_id")
     return both.agg(F.count("*").alias("matched"), F.count_if(F.col("_a") == F.col("_b")).alias("alike"), F.count_if(F.col("_b") & ~F.col("_a")).alias("dropped"), F.count_if(F.col("_a") & ~F.col("_b")).alias("added"))
 
 

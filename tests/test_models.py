@@ -212,7 +212,7 @@ def test_flux_breaks_ties_of_separation_and_may_be_missing(spark):
     assert compare.assign_matches(pairs.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("name", ["mutual_nearest_match"])
+@pytest.mark.parametrize("name", ["mutual_nearest_match", "catalogue_cuts"])
 def test_matching_sends_no_growing_table_to_the_driver(spark, name):
     import __spark_entry__ as entry
 
