@@ -52,7 +52,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' ids in sequences; a null or empty text is its end id, each row has its own pieces."""
     # Workers of earlier stages are still there, so this one remembers fewer pieces.
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), cache_words=400_000)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), cache_words=100_000)
 
 
 STAGES = [

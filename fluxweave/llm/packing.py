@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluxweave.llm.textkit import modest_batches
+from fluxweave.llm.textkit import give_back, modest_batches
 from fluxweave.llm.tokens import encoder, with_end
 
 LENGTH = 1024
@@ -77,6 +77,7 @@ def pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_id: int =
     )
 
     def cut(batches):
+        give_back()
         for batch in batches:
             flat, edges = with_end(*encoder(vocabulary, cache_words).encode_column(batch.column("text")), end_id)
             size = np.diff(edges)

@@ -9,6 +9,8 @@ Null texts have no words.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from dataclasses import dataclass
 
 import numpy as np
@@ -108,6 +110,17 @@ def modest_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Return to the system what earlier work of this Python worker no longer needs; tables of powers are made anew when used."""
+    _powers.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 @dataclass
 class Words:
     """Words of some consecutive rows: row r has the words first[r]:first[r + 1]."""

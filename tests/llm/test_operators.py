@@ -13,7 +13,7 @@ import pyarrow as pa
 from tests_support import near_groups
 from tokenizers import Tokenizer
 
-from fluxweave.llm import decontam, dedup, fingerprints, langid, lmscore, packing, pii, secrets, substring, tokens
+from fluxweave.llm import decontam, dedup, fingerprints, langid, lmscore, packing, pii, secrets, substring, textkit, tokens
 
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -501,3 +501,12 @@ def test_decontamination_keeps_every_row_in_parts(spark, plain, item):
     want = rows(decontam.INDEX_BYTES)
     assert len(want) == len(texts) and sum("contaminated=True" in x for x in want) == 5
     assert rows(80) == rows(400) == want
+
+
+def test_memory_given_back_changes_no_hash():
+    values, at = np.arange(1, 70_000, dtype=np.uint64), np.array([0, 5, 60_000])
+    before = textkit.rolling(values, at, at + 50), textkit.rolling_other(values, at, at + 50)
+    textkit.give_back()
+    assert not textkit._powers
+    after = textkit.rolling(values, at, at + 50), textkit.rolling_other(values, at, at + 50)
+    assert all((x == y).all() for x, y in zip(before, after, strict=True))
