@@ -12,9 +12,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluxweave.runtime import cut
+
 ROUNDS, TOLERANCE, CONDITION = 300, 1e-8, 1e8
 SIGMAS, AMPLITUDE, MARGIN, EXTENSION = (0.2, 30.0), 5.0, 1.0, 5.0
 
@@ -189,20 +191,40 @@ def fit_parents(pixels: DataFrame, beam: tuple[float, float, float], by: Sequenc
 def touching_models(fits: DataFrame, reach: float) -> DataFrame:
     """Pairs of components whose half-maximum ellipses meet along their separation: fits(id, cx, cy, sigma_1, sigma_2, angle).
 
-    Components meet through cells of `reach` pixels (at least the largest possible distance).
+    Components meet through cells of `reach` pixels (at least the largest possible distance). Both
+    sides grow, so they are merged; circles around the ellipses rule out most pairs first.
     """
     cell = lambda c: F.floor(F.col(c) / reach)
-    side = lambda p: fits.select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "cx", "cy", "sigma_1", "sigma_2", "angle")])
+    turned = fits.withColumn("_cos", F.cos(F.radians("angle"))).withColumn("_sin", F.sin(F.radians("angle"))).withColumn("_far", F.greatest(F.abs("sigma_1"), F.abs("sigma_2")))
+    side = lambda p: turned.select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "cx", "cy", "sigma_1", "sigma_2", "_cos", "_sin", "_far")])
     a = side("a").withColumn("_x", F.explode(F.array(*[cell("a_cx") + k for k in (-1, 0, 1)]))).withColumn("_y", F.explode(F.array(*[cell("a_cy") + k for k in (-1, 0, 1)])))
     b = side("b").withColumn("_x", cell("b_cx")).withColumn("_y", cell("b_cy"))
     dx, dy = F.col("b_cx") - F.col("a_cx"), F.col("b_cy") - F.col("a_cy")
     d = F.sqrt(dx * dx + dy * dy)
 
     def along(p: str):
-        t = F.radians(F.col(f"{p}_angle"))
-        u, v = F.cos(t) * dx + F.sin(t) * dy, F.cos(t) * dy - F.sin(t) * dx
+        c, s = F.col(f"{p}__cos"), F.col(f"{p}__sin")
+        u, v = c * dx + s * dy, c * dy - s * dx
         inverse = (u / F.col(f"{p}_sigma_1")) * (u / F.col(f"{p}_sigma_1")) + (v / F.col(f"{p}_sigma_2")) * (v / F.col(f"{p}_sigma_2"))
         return F.when(d > 0, d / F.sqrt(F.nullif(inverse, F.lit(0.0)))).otherwise(F.col(f"{p}_sigma_1"))
 
     half = float(np.sqrt(2 * np.log(2)))
-    return a.join(b, ["_x", "_y"]).where((F.col("a_id") < F.col("b_id")) & (d <= half * (along("a") + along("b")))).select("a_id", "b_id")
+    near = d <= half * (F.col("a__far") + F.col("b__far")) * (1 + 1e-9)
+    return a.join(b.hint("merge"), ["_x", "_y"]).where((F.col("a_id") < F.col("b_id")) & near & (d <= half * (along("a") + along("b")))).select("a_id", "b_id")
+
+
+def touching_classes(fits: DataFrame, reach: float) -> DataFrame:
+    """Touching pairs with copies told once: (a_id, b_id, copy), of fits(id, cx, cy, sigma_1, sigma_2, angle).
+
+    Equal models are a class, named by its smallest id. A row with `copy` says that b_id is in the class
+    a_id; the others are touching classes. All models of one class touch each other, and those of touching classes
+    do, so every pair follows from these rows. Models with a null, or a width below zero, are in no class but their own.
+    """
+    shape = ["cx", "cy", "sigma_1", "sigma_2", "angle"]
+    alike = fits.select("id", *shape).withColumn("_low", F.min("id").over(Window.partitionBy(*shape)))
+    whole = F.col("sigma_1") >= 0
+    for c in shape:
+        whole = whole & F.col(c).isNotNull()
+    named = cut(alike.withColumn("_class", F.when(whole, F.col("_low")).otherwise(F.col("id"))), "classes")
+    members = named.where("_class <> id").select(F.col("_class").alias("a_id"), F.col("id").alias("b_id"), F.lit(True).alias("copy"))
+    return members.unionByName(touching_models(named.where("_class = id").select("id", *shape), reach).withColumn("copy", F.lit(False)))

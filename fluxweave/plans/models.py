@@ -46,7 +46,7 @@ def touching_models(spark, sf_dir):
     p = I.table(spark, sf_dir, "part")
     k, s = F.col("p_partkey"), F.col("p_size")
     models = p.select(k.alias("id"), ((k * 37) % 1000 * 1.0).alias("cx"), ((k * 91) % 1000 * 1.0).alias("cy"), (s / 10.0 + 1).alias("sigma_1"), (s / 20.0 + 1).alias("sigma_2"), (k % 180 * 1.0).alias("angle"))
-    return fit.touching_models(models, 32.0)
+    return fit.touching_classes(models, 32.0)
 
 
 @query("W9 G20 G23 G24 T8 matched filters on halo tiles")

@@ -220,6 +220,35 @@ def test_matching_sends_no_growing_table_to_the_driver(spark, name):
     assert "Broadcast" not in plan
 
 
+def test_touching_classes_tell_every_pair_once(spark):
+    g = np.random.default_rng(3)
+    kinds = [(float(x), float(y), float(s), float(s) / 2, float(t)) for x, y, s, t in zip(g.uniform(0, 60, 30), g.uniform(0, 60, 30), g.uniform(1, 6, 30), g.uniform(0, 180, 30), strict=True)]
+    kinds += [(kinds[0][0], kinds[0][1], 2.0, 1.0, 0.0), (5.0, 5.0, None, 1.0, 0.0)]
+    rows = [(2**60 + i, *kinds[int(k)]) for i, k in enumerate(g.integers(0, len(kinds), 120))]
+    models = spark.createDataFrame(rows, "id long, cx double, cy double, sigma_1 double, sigma_2 double, angle double")
+
+    def meet(p, q):
+        dx, dy = q[0] - p[0], q[1] - p[1]
+        d = np.hypot(dx, dy)
+
+        def along(m):
+            c, s = np.cos(np.radians(m[4])), np.sin(np.radians(m[4]))
+            return d / np.hypot((c * dx + s * dy) / m[2], (c * dy - s * dx) / m[3]) if d else m[2]
+
+        return d <= np.sqrt(2 * np.log(2)) * (along(p) + along(q))
+
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and None not in a + b and meet(a[1:], b[1:])}
+    told = fit.touching_classes(models, 32.0).collect()
+    group = {r["b_id"]: r["a_id"] for r in told if r["copy"]}
+    links = {(r["a_id"], r["b_id"]) for r in told if not r["copy"]}
+    home = lambda i: group.get(i, i)
+    whole = [r[0] for r in rows if None not in r]
+    same = lambda a, b: home(a) == home(b) or (min(home(a), home(b)), max(home(a), home(b))) in links
+    assert {(a, b) for a in whole for b in whole if a < b and same(a, b)} == want
+    assert len(told) == len(group) + len(links) and len(told) < len(want)
+    assert {(r["a_id"], r["b_id"]) for r in fit.touching_models(models, 32.0).collect()} == want
+
+
 @pytest.mark.parametrize("kind", ["TAN", "SIN"])
 def test_wcs_round_trip_and_area(kind):
     wcs = Wcs(HEADER | {"CTYPE1": f"RA---{kind}", "CTYPE2": f"DEC--{kind}", "CROTA2": 12.0})
