@@ -6,11 +6,11 @@ numbers, addresses of eight groups); boosted trees judge each by its format and
 and those over their kind's calibrated threshold are added. The trees learn from two kinds of
 examples. Built ones, from a fixed seed: sensitive formats with fitting words around them, and
 look-alikes (orders, dates, prices, versions, measures) in plain contexts. And, with `fit`, ones
-of the documents: base spans written another way where they stand (spelled-out addresses,
-numbers without their plus or with other separators) are positive, other candidates of the
-documents are negative. A threshold is the least one, LEAST or more, with PRECISION on
-examples (of other documents) kept out of training. The sample of documents is bounded: about SAMPLE of them by a
-hash, SAMPLE_CHARS of each; detection reads whole texts.
+of all the documents' whole texts: base spans written in all other ways where they stand (spelled-out
+addresses, numbers without their plus or with other separators) are positive, all other candidates
+of the documents are negative. Equal examples are one row with their number (`examples`), and trees
+and thresholds follow from all the rows. A threshold is the least one, LEAST or more, with PRECISION
+on examples kept out of training, which are those of a third of the different texts.
 
 Positions are code points, end exclusive. Null texts are empty and have no spans. Rows are
 independent of each other, so ties and repeats do not matter; other columns are ignored.
@@ -20,6 +20,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,17 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluxweave.llm.boost import Boosted
+from fluxweave import runtime
+from fluxweave.llm.boost import Boosted, Rows
 from fluxweave.llm.textkit import modest_batches
 
 KINDS = ("email", "ip", "card", "phone")
 PRECISION = 0.98
 LEAST = 0.5
 CONTEXT = 32
-SAMPLE = 2000
-SAMPLE_CHARS = 20_000
-REWRITES = 12  # of each base span of a sampled document
-EXAMPLES = 3000  # of each label from documents, drawn with repeats from what there is
+EXAMPLES = 3000  # weight of the documents' examples of each label, the same for each kind that has some
+GRID = 1 << 16  # thresholds are multiples of its inverse
+COUNTED = 20_000  # different examples a task counts before it passes them on
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -214,80 +217,169 @@ def _examples(seed: int = 11, n: int = 6000) -> tuple[np.ndarray, np.ndarray]:
     return np.array(xs), np.array(ys)
 
 
-def rewritten(kind: int, s: str, pick) -> str:
-    """A base span written another way, which the fixed patterns do not know."""
+def ways(kind: int, s: str) -> list[str]:
+    """A base span written in other ways, which the fixed patterns do not know."""
     if kind == 0:
         local, domain = s.split("@")
-        return local + pick([" at ", "(at)", "[at]", " (at) ", " [at] "]) + domain.replace(".", pick([" dot ", "(dot)", "[dot]", " [dot] "]))
+        return [local + at + domain.replace(".", dot) for at in (" at ", "(at)", "[at]", " (at) ", " [at] ") for dot in (" dot ", "(dot)", "[dot]", " [dot] ")]
     if kind == 1:
-        return s.replace(".", pick(["[.]", "(.)", "[dot]", " dot "]))
+        return [s.replace(".", dot) for dot in ("[.]", "(.)", "[dot]", " dot ")]
     digits = _digits(s)
     if kind == 2:
-        return ".".join(digits[k : k + 4] for k in range(0, len(digits), 4))
-    tail, at = digits[-10:], pick([1, 2, 3])
-    return pick([f"00{digits[:at]} {digits[at:]}", f"00{digits[:at]} {digits[at : at + 3]} {digits[at + 3 :]}", f"({tail[:3]}) {tail[3:6]}-{tail[6:]}", f"{tail[:3]}-{tail[3:6]}-{tail[6:]}", f"{tail[:3]}.{tail[3:6]}.{tail[6:]}"])
+        return [".".join(digits[k : k + 4] for k in range(0, len(digits), 4))]
+    tail = digits[-10:]
+    abroad = [form for at in (1, 2, 3) for form in (f"00{digits[:at]} {digits[at:]}", f"00{digits[:at]} {digits[at : at + 3]} {digits[at + 3 :]}")]
+    return [*abroad, f"({tail[:3]}) {tail[3:6]}-{tail[6:]}", f"{tail[:3]}-{tail[3:6]}-{tail[6:]}", f"{tail[:3]}.{tail[3:6]}.{tail[6:]}"]
 
 
-def document_examples(texts: list[str], seed: int = 13) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of rewritten base spans where they stand, and of all other candidates."""
-    rng = np.random.default_rng(seed)
-    pick = lambda xs: xs[int(rng.integers(len(xs)))]
-    rows: list[tuple[list[float], float]] = []
-    for text in texts:
-        base = base_spans(text)
-        for kind, a, b in base:
-            before, after = text[max(0, a - 2 * CONTEXT) : a], text[b : b + 2 * CONTEXT]
-            for _ in range(REWRITES):
-                new, start = rewritten(kind, text[a:b], pick), len(before)
-                window = f"{before}{new}{after}"
-                rows += [(features(window, *c), 1.0) for c in candidates(window) if c[0] == kind and c[1] < start + len(new) and c[2] > start]
-        rows += [(features(text, *c), 0.0) for c in candidates(text) if not any(c[1] < b and c[2] > a for _, a, b in base)]
-    chosen: list[tuple[list[float], float]] = []
-    for kind in range(len(KINDS)):
-        for label in (0.0, 1.0):
-            mine = [r for r in rows if r[0][0] == kind and r[1] == label]
-            chosen += [mine[k] for k in rng.integers(len(mine), size=EXAMPLES // len(KINDS))] if mine else []
-    width = len(features("", 0, 0, 0))
-    return np.array([r[0] for r in chosen]).reshape(len(chosen), width), np.array([r[1] for r in chosen])
-
-
-def _trained(x: np.ndarray, y: np.ndarray, kept_x: np.ndarray, kept_y: np.ndarray) -> tuple[Boosted, np.ndarray]:
-    """The trees and for each kind the least threshold, LEAST or more, of PRECISION on examples kept out of training."""
-    trees = Boosted().fit(x, y)
+def rewritten(kind: int, s: str, pick) -> str:
+    """One of the ways."""
+    return pick(ways(kind, s))
+
+
+def _apart(found: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The candidates that overlap no base span."""
+    starts, ends = [], []  # of the base spans' union
+    for a, b in sorted((a, b) for _, a, b in base):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return [c for c in found if not (k := bisect_right(starts, c[2] - 1)) or ends[k - 1] <= c[1]]
+
+
+def text_examples(text: str) -> Iterator[tuple[bool, list[float]]]:
+    """(sensitive, features) of base spans in all ways where they stand, and of all other candidates."""
+    base = base_spans(text)
+    for kind, a, b in base:
+        before, after, start = text[max(0, a - 2 * CONTEXT) : a], text[b : b + 2 * CONTEXT], min(a, 2 * CONTEXT)
+        for new in ways(kind, text[a:b]):
+            window = f"{before}{new}{after}"
+            for c in candidates(window):
+                if c[0] == kind and c[1] < start + len(new) and c[2] > start:
+                    yield True, features(window, *c)
+    for c in _apart(candidates(text), base):
+        yield False, features(text, *c)
+
+
+def _blank() -> Boosted:
+    """Untrained trees. Bins are fixed: whole numbers to 62 and what is over, shares in steps of 1/62."""
+    width, share = len(features("", 0, 0, 0)), 3
+    return Boosted([np.arange(63) / (62 if k == share else 1) for k in range(width)])
+
+
+def examples(docs: DataFrame) -> DataFrame:
+    """(kept_out, sensitive, features, n): the different binned examples of all whole texts of docs(text), and how many there are.
+
+    A third of the different texts by a hash are kept out of training; copies of a text stay together.
+    """
+    text = F.col("text").cast("string")
+    kept_out = F.pmod(F.xxhash64(text, F.lit(29)), F.lit(3)) == 0
+    texts = modest_batches(docs).where("text is not null").select(kept_out.alias("kept_out"), text.alias("text"))
+    trees = _blank()
+
+    def passed_on(counted: Counter) -> pa.RecordBatch:
+        kept, sensitive, bins = zip(*counted, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(kept), pa.array(sensitive), pa.array(bins, pa.binary()), pa.array(counted.values(), pa.int64())], ["kept_out", "sensitive", "features", "n"])
+
+    def run(batches):
+        counted: Counter = Counter()
+        marks: list[tuple[bool, bool]] = []
+        rows: list[list[float]] = []
+
+        def count() -> None:
+            if rows:
+                counted.update((*mark, bins.tobytes()) for mark, bins in zip(marks, trees.binned(np.array(rows)), strict=True))
+            marks.clear()
+            rows.clear()
+
+        for batch in batches:
+            for at in range(batch.num_rows):
+                kept = batch.column(0)[at].as_py()
+                for sensitive, row in text_examples(batch.column(1)[at].as_py()):
+                    marks.append((kept, sensitive))
+                    rows.append(row)
+                    if len(rows) == 4096:
+                        count()
+                        if len(counted) > COUNTED:
+                            yield passed_on(counted)
+                            counted.clear()
+        count()
+        if counted:
+            yield passed_on(counted)
+
+    found = texts.mapInArrow(run, "kept_out boolean, sensitive boolean, features binary, n long")
+    return found.groupBy("kept_out", "sensitive", "features").agg(F.sum("n").alias("n"))
+
+
+def _thresholds(trees: Boosted, kept: Rows) -> np.ndarray:
+    """For each kind the least threshold, LEAST or more, of PRECISION on the examples kept out of training."""
+    weight = np.zeros((2, len(KINDS) * GRID))
+    for _, block in kept.blocks():
+        step = np.minimum((trees.probability_binned(block["b"]) * GRID).astype(np.int64), GRID - 1)
+        cell = block["b"][:, 0].astype(np.int64) * GRID + step
+        for label in (0, 1):
+            weight[label] += np.bincount(cell, block["w"] * (block["y"] == label), len(KINDS) * GRID)
     thresholds = np.ones(len(KINDS))
-    for kind in range(len(KINDS)):
-        mine = np.flatnonzero(kept_x[:, 0] == kind)
-        p, truth = trees.probability(kept_x[mine]), kept_y[mine]
-        order = np.argsort(-p, kind="stable")
-        precise = np.cumsum(truth[order]) / np.arange(1, len(order) + 1)
-        last = np.append(p[order][1:] < p[order][:-1], True)  # equal scores go together
-        good = np.flatnonzero(last & (precise >= PRECISION))
+    for kind, (no, yes) in enumerate(zip(*weight.reshape(2, len(KINDS), GRID), strict=True)):
+        over_no, over_yes = np.cumsum(no[::-1])[::-1], np.cumsum(yes[::-1])[::-1]
+        good = np.flatnonzero((no + yes > 0) & (over_yes >= PRECISION * (over_no + over_yes)))
         if len(good):
-            thresholds[kind] = max(LEAST, float(p[order][good[-1]]))
-    return trees, thresholds
+            thresholds[kind] = max(LEAST, good[0] / GRID)
+    return thresholds
 
 
-def _split() -> tuple[np.ndarray, ...]:
+def _trained(mine: Rows, kept: Rows) -> tuple[Boosted, np.ndarray]:
+    """Trees and thresholds of the rows to learn from, those kept out, and built examples."""
+    trees = _blank()
     x, y = _examples()
-    cut = len(x) * 2 // 3
-    return x[:cut], y[:cut], x[cut:], y[cut:]
+    b, cut = trees.binned(x), len(x) * 2 // 3
+    mine.add(b[:cut], y[:cut], np.ones(cut))
+    kept.add(b[cut:], y[cut:], np.ones(len(x) - cut))
+    return trees.fit(mine), _thresholds(trees, kept)
+
+
+def _rows() -> Rows:
+    return Rows(len(_blank().edges))
 
 
 @lru_cache
 def model() -> tuple[Boosted, np.ndarray]:
     """Trees and thresholds from built examples alone."""
-    return _trained(*_split())
+    return _trained(_rows(), _rows())
+
 
+def fit(docs: DataFrame) -> tuple[Boosted, np.ndarray]:
+    """Trees and thresholds from built examples and from all whole texts of docs(text).
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[Boosted, np.ndarray]:
-    """Trees and thresholds from built examples and from a bounded hash sample of docs(doc_id, text)."""
-    texts = docs.where("text is not null").select(F.xxhash64("doc_id", F.lit(29)).alias("h"), F.substring(F.col("text").cast("string"), 1, SAMPLE_CHARS).alias("text"))
-    share = min(1.0, sample / max(1, docs.count()))
-    chosen = texts.where(F.pmod("h", F.lit(1_000_003)) < share * 1_000_003)
-    rows = [r["text"] for r in chosen.orderBy("h", "text").limit(2 * sample).collect()]
-    kept = document_examples(rows[::3], 19)
-    mine = document_examples([t for k, t in enumerate(rows) if k % 3])
-    return _trained(*map(np.concatenate, zip(_split(), (*mine, *kept), strict=True)))
+    The different examples go to a file of the driver in a fixed order, so repeated fits are equal.
+    The weight of a kind's examples of one label does not depend on their number.
+    """
+    table = runtime.cut(examples(docs), "pii-examples")
+
+    def packed(batches):
+        for batch in batches:
+            kept, sensitive, n = (np.asarray(batch.column(k).to_numpy(zero_copy_only=False)) for k in (0, 1, 3))
+            bins = np.array([np.frombuffer(x, np.uint8) for x in batch.column(2).to_pylist()], np.uint8)
+            for side in np.unique(kept):
+                at = kept == side
+                yield pa.RecordBatch.from_arrays([pa.array([bool(side)]), *(pa.array([x[at].tobytes()], pa.binary()) for x in (sensitive.astype(np.uint8), bins, n.astype(np.int64)))], ["kept_out", "sensitive", "features", "n"])
+
+    sides = _rows(), _rows()
+    weight = np.zeros((2, len(KINDS), 2))
+    width = len(_blank().edges)
+    in_order = table.orderBy("kept_out", "sensitive", "features").mapInArrow(packed, "kept_out boolean, sensitive binary, features binary, n binary")
+    for r in in_order.toLocalIterator():
+        y, b, n = np.frombuffer(r.sensitive, np.uint8), np.frombuffer(r.features, np.uint8).reshape(-1, width), np.frombuffer(r.n, np.int64)
+        sides[r.kept_out].add(b, y, n)
+        np.add.at(weight[int(r.kept_out)], (b[:, 0], y), n)
+    runtime.forget(table)
+    for rows, total in zip(sides, weight, strict=True):
+        for at, block in rows.blocks():
+            block["w"] *= EXAMPLES / len(KINDS) / total[block["b"][:, 0], block["y"].astype(np.int64)]
+            rows.put(at, block)
+    return _trained(*sides)
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]], trees: Boosted, thresholds: np.ndarray) -> list[tuple[int, int, int]]:
@@ -295,8 +387,7 @@ def added_spans(text: str, base: list[tuple[int, int, int]], trees: Boosted, thr
     found = candidates(text)
     if not found:
         return []
-    taken = [(a, b) for _, a, b in base]
-    found = [c for c in found if not any(c[1] < b and c[2] > a for a, b in taken)]
+    found = _apart(found, base)
     if not found:
         return []
     p = trees.probability(np.array([features(text, *c) for c in found]))

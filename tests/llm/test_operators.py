@@ -13,7 +13,7 @@ import pyarrow as pa
 from tests_support import near_groups
 from tokenizers import Tokenizer
 
-from fluxweave.llm import decontam, dedup, fingerprints, langid, lmscore, packing, pii, secrets, substring, textkit, tokens
+from fluxweave.llm import boost, decontam, dedup, fingerprints, langid, lmscore, packing, pii, secrets, substring, textkit, tokens
 
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -389,6 +389,50 @@ def test_pii_written_another_way_is_found_in_documents(spark):
     assert min(recall) >= 0.9 and wrong <= 0.05 * sum(hit.values()), (recall, wrong)
 
 
+def test_pii_learns_from_whole_texts(spark):
+    """Phones that stand past 20,000 characters only are learned from, too."""
+    rng = random.Random(8)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    far = "".join(rng.choice("abcdefgh ") for _ in range(21_000))
+    rows = [(k, f"{far} +{digits(11)} gamma delta{k}") for k in range(30)]
+    trees, thresholds = pii.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    news = [pii.rewritten(3, "+" + digits(11), rng.choice) for _ in range(40)]
+    found = [pii.added_spans(f"beta {new} gamma", [], trees, thresholds) for new in news]
+    assert sum(bool(x) for x in found) >= 36
+
+
+def test_pii_examples_are_those_of_every_row(spark, plain, nothing):
+    texts = [t for _, t in plain if t is not None] + ["call 0171/123456 or x at y.org, not 4111 1111 1111 1111 but 10.0.0.1"] * 3
+    trees = pii.model()[0]
+    want = Counter((label, trees.binned(np.array([row])).tobytes()) for t in texts for label, row in pii.text_examples(t))
+    assert len({label for label, _ in want}) == 2
+    table = spark.createDataFrame([(k // 2, t) for k, t in enumerate([*texts, None])], "doc_id long, text string")
+    got = Counter()
+    for r in pii.examples(table.repartition(5)).collect():
+        got[r.sensitive, bytes(r.features)] += r.n
+    assert got == want
+    one, other = pii.fit(table), pii.fit(table.repartition(7))
+    assert np.array_equal(one[1], other[1]) and all(np.array_equal(x, y) for a, b in zip(one[0].nodes, other[0].nodes, strict=True) for x, y in zip(a, b, strict=True))
+    none = pii.fit(nothing)
+    assert np.array_equal(none[1], pii.model()[1]) and none[0].base == trees.base
+
+
+def test_pii_apart_and_blocks(monkeypatch):
+    rng = random.Random(5)
+    spans = lambda n: [(0, a, a + rng.randrange(1, 9)) for a in (rng.randrange(90) for _ in range(n))]
+    for n in (0, 1, 4, 9):
+        found, base = spans(40), spans(n)
+        assert pii._apart(found, base) == [c for c in found if not any(c[1] < b and c[2] > a for _, a, b in base)]
+    x, y = pii._examples(5, 400)
+    made = []
+    for block in (1 << 17, 61):
+        monkeypatch.setattr(boost, "BLOCK", block)
+        trees, rows = pii._blank(), pii._rows()
+        rows.add(trees.binned(x), y, np.full(len(y), 2.0))
+        made.append(trees.fit(rows).probability(x))
+    assert np.allclose(*made) and ((made[0] > 0.5) == y).mean() > 0.9
+
+
 def test_secrets(spark, docs, plain, nothing):
     got = {r.doc_id: r for r in secrets.scan(docs).collect()}
     for i, t in plain:
