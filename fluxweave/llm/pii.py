@@ -8,7 +8,8 @@ examples. Built ones, from a fixed seed: sensitive formats with fitting words ar
 look-alikes (orders, dates, prices, versions, measures) in plain contexts. And, with `fit`, ones
 of all the documents' whole texts: base spans written in all other ways where they stand (spelled-out
 addresses, numbers without their plus or with other separators) are positive, all other candidates
-of the documents are negative. Equal examples are one row with their number (`examples`), and trees
+of the documents are negative, but those in a match that was dropped for too many digits, which may
+be real and have no label. Equal examples are one row with their number (`examples`), and trees
 and thresholds follow from all the rows. A threshold is the least one, LEAST or more, with PRECISION
 on examples kept out of training, which are those of a third of the different texts.
 
@@ -249,6 +250,12 @@ def _apart(found: list[tuple[int, int, int]], base: list[tuple[int, int, int]])
     return [c for c in found if not (k := bisect_right(starts, c[2] - 1)) or ends[k - 1] <= c[1]]
 
 
+def _unsure(text: str) -> list[tuple[int, int, int]]:
+    """Matches of the fixed patterns that were dropped for too many digits: two numbers in a row, of which one may be real."""
+    found = [(kind, *m.span()) for kind, pattern in ((2, _CARD), (3, _PHONE)) for m in pattern.finditer(text)]
+    return [(kind, a, b) for kind, a, b in found if b - a > 15 and len(_digits(text[a:b])) > (19 if kind == 2 else 15)]
+
+
 def text_examples(text: str) -> Iterator[tuple[bool, list[float]]]:
     """(sensitive, features) of base spans in all ways where they stand, and of all other candidates."""
     base = base_spans(text)
@@ -259,7 +266,8 @@ def text_examples(text: str) -> Iterator[tuple[bool, list[float]]]:
             for c in candidates(window):
                 if c[0] == kind and c[1] < start + len(new) and c[2] > start:
                     yield True, features(window, *c)
-    for c in _apart(candidates(text), base):
+    found = candidates(text)
+    for c in _apart(found, [*base, *_unsure(text)]) if found else ():
         yield False, features(text, *c)
 
 

@@ -417,6 +417,18 @@ def test_pii_examples_are_those_of_every_row(spark, plain, nothing):
     assert np.array_equal(none[1], pii.model()[1]) and none[0].base == trees.base
 
 
+def test_pii_numbers_that_run_together_have_no_label(spark):
+    """A phone before an address is dropped by the fixed pattern, which does not make it harmless."""
+    rng = random.Random(9)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    phone = lambda: f"({digits(3)}) {digits(3)}-{digits(4)}"
+    assert all(label for label, _ in pii.text_examples("un. +1 (826) 555-4081 190.137.223.204 du"))
+    assert not any(label for label, _ in pii.text_examples("order 1234 5678 9012 3456 du, 0171/123456"))
+    rows = [(k, f"beta{k} +1 {phone()} {rng.choice(['190.137.223.204', 'gamma'])} delta") for k in range(60)]
+    trees, thresholds = pii.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sum(bool(pii.added_spans(f"beta {phone()} gamma", [], trees, thresholds)) for _ in range(40)) >= 36
+
+
 def test_pii_apart_and_blocks(monkeypatch):
     rng = random.Random(5)
     spans = lambda n: [(0, a, a + rng.randrange(1, 9)) for a in (rng.randrange(90) for _ in range(n))]
